@@ -103,3 +103,9 @@ def all_nodes(files: DataFrame) -> DataFrame:
     """Every record of every kind with its parent link: file_id, sheet_name, node_path, parent_path."""
     together = F.concat(*[F.transform(F.col(k), lambda n: F.struct(n["path"].alias("node_path"), n["parent"].alias("parent_path"))) for k in KINDS])
     return with_nodes(one_delivery(files)).select("file_id", "sheet_name", F.inline(together))
+
+
+def row_table(files: DataFrame) -> DataFrame:
+    """The rows of ``data``: their links and the record as JSON, since its fields differ from file to file."""
+    df = with_nodes(one_delivery(files)).select("file_id", "sheet_name", F.expr("inline(rows)"))
+    return df.select("file_id", "sheet_name", F.col("path").alias("node_path"), F.col("parent").alias("parent_path"), "pos", F.col("body").alias("record"))
