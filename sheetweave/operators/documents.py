@@ -99,18 +99,18 @@ STYLE = "table{border-collapse:collapse}td,th{border:1px solid;padding:2px 6px}.
 def html_documents(c: Column) -> Column:
     """Markdown column as HTML documents."""
 
-    def image_refs(c: Column) -> Column:
-    """All image references of a Markdown column, nested parentheses included."""
-
     @F.pandas_udf("string")
-        def _html(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: None if t is None else f'<html><head><meta charset="utf-8"><style>{STYLE}</style></head><body>\n{markdown_html(t)}\n</body></html>')
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else f'<html><head><meta charset="utf-8"><style>{STYLE}</style></head><body>\n{markdown_html(t)}\n</body></html>')
 
-        return _html(c)
+    return run(c)
 
 
+def image_refs(c: Column) -> Column:
+    """All image references of a Markdown column, nested parentheses included."""
+
     @F.pandas_udf("array<struct<alt: string, path: string>>")
-    def _images(texts: pd.Series) -> pd.Series:
+    def run(texts: pd.Series) -> pd.Series:
         def of(t: str | None) -> list[tuple[str, str]]:
             out, at = [], 0
             while t and (hit := image_at(t, at)):
@@ -120,7 +120,7 @@ def html_documents(c: Column) -> Column:
 
         return texts.map(of)
 
-    return _images(c)
+    return run(c)
 
 
 # ---- DOCX ----
