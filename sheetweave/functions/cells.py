@@ -30,8 +30,9 @@ def border_css(borders: Column) -> Column:
     """CSS of an array of (side, line), sides in their fixed order."""
     style = F.create_map(*[F.lit(x) for kv in LINES.items() for x in kv])
     parts = []
+    of = lambda side: lambda b: (b["side"] == side) & b["line"].isNotNull()
     for s in SIDES:
-        one = F.filter(borders, lambda b, s=s: (b["side"] == s) & b["line"].isNotNull())
+        one = F.filter(borders, of(s))
         parts.append(F.when(F.size(one) > 0, F.concat(F.lit(f"border-{s}: "), F.coalesce(style[one[0]["line"]], F.lit("1px solid")), F.lit(" black"))))
     return F.concat_ws("; ", *parts)
 
