@@ -13,7 +13,7 @@ from sheetweave.sources.xlsx import MAX_MB, read_cells
 
 def watch(spark: SparkSession, path: str, max_mb: int = MAX_MB, files_per_batch: int = 100) -> DataFrame:
     """Stream of new workbook files: file_id, source_file, content."""
-    s = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("maxFilesPerTrigger", files_per_batch).load(path)
+    s = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.xlsx").option("maxFilesPerTrigger", files_per_batch).load(path)
     s = s.filter(F.col("length") <= max_mb * 1024 * 1024)
     return s.select(F.sha2("content", 256).alias("file_id"), F.element_at(F.split("path", "/"), -1).alias("source_file"), "content")
 
