@@ -98,8 +98,8 @@ class Engine:
     def extract_docx(self, path: str, options: ExtractionOptions = ExtractionOptions()) -> DataFrame:
         """file_id, docx."""
         c = self.cells(path, options).filter("error is null")
-        heads = self.extract_structured_data(path, options).select("file_id", "sheet_name", documents.overview(F.col("data")).alias("overview"))
-        return documents.docx_files(c, heads)
+        m = self.media(path, options).filter("bytes is not null").withColumn("visual_summary", F.lit(None).cast("string"))
+        return documents.docx_reports(self.extract_structured_data(path, options), c, m)
 
 
 def parser() -> argparse.ArgumentParser:

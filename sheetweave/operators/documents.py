@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from html import escape
@@ -135,18 +136,28 @@ def overview(data: Column) -> Column:
     return F.coalesce(*[F.get_json_object(data, f"$.{k}") for k in ("summary", "description", "overview", "analysis")])
 
 
-_NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+_NS = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:wp="http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:pic="http://schemas.openxmlformats.org/drawingml/2006/picture"'
+_EMU = 3_600_000  # side of a picture's frame (10 cm)
+
+
+def _picture(n: int) -> str:
+    ext = f'<a:ext cx="{_EMU}" cy="{_EMU}"/>'
+    pic = f'<pic:pic><pic:nvPicPr><pic:cNvPr id="{n}" name="image{n}"/><pic:cNvPicPr/></pic:nvPicPr><pic:blipFill><a:blip r:embed="rImg{n}"/><a:stretch><a:fillRect/></a:stretch></pic:blipFill><pic:spPr><a:xfrm><a:off x="0" y="0"/>{ext}</a:xfrm><a:prstGeom prst="rect"><a:avLst/></a:prstGeom></pic:spPr></pic:pic>'
+    return f'<w:p><w:r><w:drawing><wp:inline><wp:extent cx="{_EMU}" cy="{_EMU}"/><wp:docPr id="{n}" name="image{n}"/><a:graphic><a:graphicData uri="http://schemas.openxmlformats.org/drawingml/2006/picture">{pic}</a:graphicData></a:graphic></wp:inline></w:drawing></w:r></w:p>'
 
 
 def docx_bytes(blocks: list[tuple[str, object]]) -> bytes:
-    """A DOCX file from blocks: (``h1``…``h3`` | ``p`` | ``quote``, text), (``table``, rows) with the first row bold, (``break``, None).
+    """A DOCX file from blocks: (``h1``…``h3`` | ``p`` | ``quote``, text), (``table``, rows) with the first row bold, (``image``, (bytes, extension)), (``break``, None).
 
     A table cell is a text or (text, colspan, rowspan).
     """
     run = lambda t, bold=False: f'<w:r>{"<w:rPr><w:b/></w:rPr>" if bold else ""}<w:t xml:space="preserve">{xml_escape(str(t))}</w:t></w:r>'
-    body = []
+    body, images = [], []
     for kind, x in blocks:
-        if kind == "table":
+        if kind == "image":
+            images.append(x)
+            body.append(_picture(len(images)))
+        elif kind == "table":
             down: dict[int, tuple[int, int]] = {}  # column -> rows still covered, width
             rows = []
             for n, r in enumerate(x):
@@ -178,17 +189,166 @@ def docx_bytes(blocks: list[tuple[str, object]]) -> bytes:
             style = {"h1": "Heading1", "h2": "Heading2", "h3": "Heading3", "quote": "Quote"}.get(kind)
             body.append(f'<w:p>{f"<w:pPr><w:pStyle w:val=\"{style}\"/></w:pPr>" if style else ""}{run(x)}</w:p>')
     parts = {
-        "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
+        "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Default Extension="png" ContentType="image/png"/><Default Extension="jpg" ContentType="image/jpeg"/><Default Extension="gif" ContentType="image/gif"/><Default Extension="bmp" ContentType="image/bmp"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>',
         "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>',
+        "word/_rels/document.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="rImg{n}" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/image" Target="media/image{n}.{ext}"/>' for n, (_, ext) in enumerate(images, 1)) + "</Relationships>",
         "word/document.xml": f"<w:document {_NS}><w:body>{''.join(body)}</w:body></w:document>",
     }
     buf = io.BytesIO()
     with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for name, text in parts.items():
             z.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + text)
+        for n, (data, ext) in enumerate(images, 1):
+            z.writestr(f"word/media/image{n}.{ext}", bytes(data))
     return buf.getvalue()
 
 
+# Members that aren't a table of their own, headers that already hold an insight, and the default texts.
+RESERVED = {"summary", "description", "overview", "analysis", "media", "error", "data"}
+INSIGHT, NO_INSIGHT = "ビジュアルインサイト", "なし"
+INSIGHT_HEADS = ("インサイト", "insight", "visual", "画像概要")
+LOGIC = re.compile(r"=(SUM|AVERAGE|AVG|COUNT|MAX|MIN|SUBTOTAL|VLOOKUP|IF|ROUND)\b", re.I)
+
+
+def _rc(coord: str | None) -> tuple[int, int] | None:
+    m = re.fullmatch(r"([A-Z]+)([0-9]+)", (coord or "").upper())
+    if not m:
+        return None
+    col = 0
+    for c in m.group(1):
+        col = col * 26 + ord(c) - 64
+    return int(m.group(2)), col
+
+
+def find_table(data: object) -> tuple[str | None, list[dict]]:
+    """The member that holds a list of objects, reserved ones last; its name and rows."""
+    if isinstance(data, list):
+        return None, [r for r in data if isinstance(r, dict)]
+    if isinstance(data, dict):
+        for k in [*(k for k in data if k not in RESERVED and not k.startswith("_")), "data"]:
+            v = data.get(k)
+            if isinstance(v, list) and v and all(isinstance(r, dict) for r in v):
+                return k, v
+    return None, []
+
+
+def media_of_row(row: dict, media: list[dict], band: int = 5) -> dict | None:
+    """The media item at the row's coordinate, else in its photo area, else in its row or column nearby."""
+    coord = next((str(row[k]) for k in ("coordinate_image", "coordinate", "coord", "coordinate_title") if row.get(k)), None)
+    if hit := next((m for m in media if coord and (m["coord"] or "").upper() == coord.upper()), None):
+        return hit
+    area = row.get("photo_area")
+    if isinstance(area, dict) and (a := _rc(area.get("start"))) and (b := _rc(area.get("end"))):
+        if hit := next((m for m in media if (p := _rc(m["coord"])) and a[0] <= p[0] <= b[0] and a[1] <= p[1] <= b[1]), None):
+            return hit
+    if here := _rc(coord):
+        return next((m for m in media if (p := _rc(m["coord"])) and (p[1] == here[1] and abs(p[0] - here[0]) <= band or p[0] == here[0] and abs(p[1] - here[1]) <= band)), None)
+    return None
+
+
+def coord_of_value(key: str, value: str, cells: list[dict]) -> str | None:
+    """The first cell equal to the value, else one that contains it, else one that contains the key."""
+    v = value.strip()
+    texts = [((c["value"] or "").strip(), c["coord"]) for c in cells]
+    for test in (lambda t: t == v, lambda t: v in t, lambda t: key in t):
+        if hit := next((c for t, c in texts if t and v and test(t)), None):
+            return hit
+    return None
+
+
+def structured_blocks(data: object, cells: list[dict], media: list[dict]) -> list[tuple[str, object]]:
+    """Blocks of a structured result: its table with insights, the other members as headings, texts and located values, then images, annotations and what is left."""
+    blocks: list[tuple[str, object]] = []
+    name, rows = find_table(data)
+    used: list[dict] = []
+    captions = []
+    if rows:
+        heads = list(rows[0])
+        extra = not any(x in h.lower() for h in heads for x in INSIGHT_HEADS)
+        table = [[*heads, *([INSIGHT] if extra else [])]]
+        for n, r in enumerate(rows, 1):
+            m = media_of_row(r, media)
+            at = next((str(r[k]) for k in ("coordinate_title", "coordinate", "coord") if r.get(k)), None)
+            line = [str(r.get(h, "")) for h in heads]
+            if at and line:
+                line[0] = f"[{at}] {line[0]}"
+            if extra:
+                line.append(str((m or {}).get("visual_summary") or r.get("image_details") or NO_INSIGHT))
+            table.append(line)
+            if m and m not in used:
+                used.append(m)
+                no = re.sub(r"^(No|NO)\.", "", str(r.get("photo_no") or n))
+                captions.append((m, f"【図：No.{no} {r.get('title') or '画像データ'} (表中座標: {at or 'A1'} / 画像座標: {m['coord'] or 'A1'})】"))
+        blocks.append(("table", table))
+
+    def members(x: object, skip: str | None) -> None:
+        for k, v in x.items() if isinstance(x, dict) else ():
+            if k == skip or k in ("media", "summary", "description", "overview", "analysis") or k.startswith("_"):
+                continue
+            if isinstance(v, dict):
+                blocks.append(("h3", k))
+                members(v, None)
+            elif isinstance(v, list):
+                blocks.append(("h3", k))
+                for e in v:
+                    members(e, None) if isinstance(e, dict) else blocks.append(("p", str(e)))
+            elif v is not None and str(v):
+                at = coord_of_value(k, str(v), cells)
+                blocks.append(("p", f"{f'[{at}] ' if at else ''}{k}: {v}"))
+
+    members(data, name)
+    for m, text in captions + [(m, f"【図：{m['filename'] or '画像データ'} (画像座標: {m['coord'] or 'A1'})】") for m in media if m not in used and m["filename"]]:
+        if m.get("bytes"):
+            blocks.append(("image", (m["bytes"], (m["filename"] or "x.png").rsplit(".", 1)[-1])))
+        blocks.append(("p", text))
+    for c in cells:
+        if c["formula"] and LOGIC.search(c["formula"]):
+            unit = f"（単位: {c['unit']}）" if c["unit"] else ""
+            blocks.append(("quote", f"ℹ️ セル {c['coord']} は計算式 `{c['formula']}`{unit} から導出された集計値です。"))
+    return blocks
+
+
+def docx_reports(results: DataFrame, cells: DataFrame, media: DataFrame) -> DataFrame:
+    """A DOCX per file from structured results (file_id, sheet_name, data), with the raw table where a sheet has none.
+
+    cells: file_id, sheet_name, row_idx, col_idx, coord, value, formula, unit, colspan, rowspan; media: file_id, sheet_name, idx,
+    coord, filename, visual_summary and, if there, bytes.
+    """
+    keys = ["file_id", "sheet_name"]
+    if "bytes" not in media.columns:
+        media = media.withColumn("bytes", F.lit(None).cast("binary"))
+    c = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("row_idx", "col_idx", "coord", "value", "formula", "unit", F.coalesce("colspan", F.lit(1)).alias("colspan"), F.coalesce("rowspan", F.lit(1)).alias("rowspan")))).alias("cells"))
+    m = media.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "coord", "filename", "visual_summary", "bytes"))).alias("media"))
+    sheets = c.join(results.select(*keys, "data", overview(F.col("data")).alias("overview")), keys, "left").join(m, keys, "left")
+    files = sheets.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("sheet_name", "data", "overview", "cells", "media"))).alias("sheets"))
+
+    @F.pandas_udf("binary")
+    def write(ids: pd.Series, books: pd.Series) -> pd.Series:
+        out = []
+        for i, sheets in zip(ids, books):
+            blocks: list[tuple[str, object]] = [("h1", i)]
+            for s in sheets:
+                own = [dict(x) for x in (s["cells"] if s["cells"] is not None else [])]
+                pics = [dict(x) for x in (s["media"] if s["media"] is not None else [])]
+                blocks.append(("h1", s["sheet_name"]))
+                if s["overview"]:
+                    blocks += [("h2", "解析サマリー"), ("p", s["overview"])]
+                try:
+                    data = json.loads(s["data"]) if s["data"] else None
+                except ValueError:
+                    data = None
+                if not find_table(data)[1]:
+                    raw: dict[int, list] = {}
+                    for x in own:
+                        raw.setdefault(x["row_idx"], []).append((f"[{x['coord']}] {x['value'] or ''}", int(x["colspan"]), int(x["rowspan"])))
+                    blocks.append(("table", [raw[k] for k in sorted(raw)]))
+                blocks += [*structured_blocks(data, own, pics), ("break", None)]
+            out.append(docx_bytes(blocks))
+        return pd.Series(out)
+
+    return files.select("file_id", write("file_id", "sheets").alias("docx"))
+
+
 def sheet_blocks(cells: DataFrame) -> DataFrame:
     """Each row of a sheet's raw table as texts ``[coord] value`` with spans, in order: file_id, sheet_name, row_idx, cells."""
     text = F.concat(F.lit("["), F.col("coord"), F.lit("] "), F.coalesce("value", F.lit("")))

@@ -161,3 +161,18 @@ def test_retries():
         return "ok"
 
     assert model.with_retries(call, waits.append) == "ok" and waits == [2.0, 4.0]
+
+
+def test_structured_report():
+    cell = lambda coord, value, formula=None: {"coord": coord, "value": value, "formula": formula, "unit": "JPY"}
+    data = {"summary": "s", "photos": [{"photo_no": "No.1", "title": "pump", "coordinate": "B2"}, {"title": "seal", "coordinate": "Z9"}], "total": "12", "more": {"who": "Ann", "list": ["x"]}}
+    media_items = [{"coord": "B4", "filename": "p.png", "visual_summary": "seen", "bytes": b"1"}, {"coord": None, "filename": "q.png", "visual_summary": None, "bytes": None}]
+    got = documents.structured_blocks(data, [cell("C1", " 12 ", "=SUM(A1)"), cell("D4", "by Ann")], media_items)
+    assert got == [
+        ("table", [["photo_no", "title", "coordinate", "ビジュアルインサイト"], ["[B2] No.1", "pump", "B2", "seen"], ["[Z9] ", "seal", "Z9", "なし"]]),
+        ("p", "[C1] total: 12"), ("h3", "more"), ("p", "[D4] who: Ann"), ("h3", "list"), ("p", "x"), ("image", (b"1", "png")),
+        ("p", "【図：No.1 pump (表中座標: B2 / 画像座標: B4)】"), ("p", "【図：q.png (画像座標: A1)】"), ("quote", "ℹ️ セル C1 は計算式 `=SUM(A1)`（単位: JPY） から導出された集計値です。"),
+    ]
+    with zipfile.ZipFile(io.BytesIO(documents.docx_bytes(got))) as z:
+        assert z.read("word/media/image1.png") == b"1" and b"rImg1" in z.read("word/document.xml")
+    assert documents.find_table({"data": [{"a": 1}]}) == ("data", [{"a": 1}]) and documents.find_table({"x": [1]}) == (None, [])
