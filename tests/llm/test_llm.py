@@ -16,7 +16,8 @@ from sheetweave.llm import leaks, lookalike, mojibake, packing, pairs, split, to
 TERMS = [(1, "Peak flow rate"), (2, "ロータ長さ"), (3, "KK-338E"), (4, "Расход за рейс"), (5, "Volume m3"), (6, "Kühlhöhe"), (7, None), (8, "Peak flow rate")]
 LOOKS = {
     "Peаk flоw rаte": 1, "Ｐｅａｋ　ｆｌｏｗ　ｒａｔｅ": 1, " Peak​ flow rate\n": 1, "ﾛｰﾀ長さ": 2, "口ー夕長さ": 2, "ロータ⾧さ": 2, "КΚ‑ЗЗ8E": None, "ΚК－338Ε": 3,
-    "Pacxoд зa peйc": 4, "Расход за рейс": 4, "Volume m³": None, "volume m3": None, "Kuhlhohe": None, "Kühlhöhe": 6, "Kühlhöhe": None, "": None, "​": None,
+    "Pacxoд зa peйc": 4, "Расход за рейс": None, unicodedata.normalize("NFD", "Расход за рейс"): 4, "Volume m³": None, "volume m3": None, "Kuhlhohe": None,
+    unicodedata.normalize("NFD", "Kühlhöhe"): 6, "Kühlhöhe": None, "": None, "\u200b": None,
 }
 
 
