@@ -42,7 +42,7 @@ def json_type(v: str) -> str:
 def row_cells(files: DataFrame) -> DataFrame:
     """A row per member of each data row: template_id, sheet_name, period, file_id, pos, row_key, field, jtype, value."""
     rows = with_nodes(_keep(files), keep=("file_id", "template_id", "period")).select("file_id", "template_id", "period", "sheet_name", F.expr("inline(rows)"))
-    rows = rows.withColumn("_m", F.expr("cast(try_parse_json(body) as map<string,variant>)"))
+    rows = rows.withColumn("_m", F.expr("try_variant_get(body, '$', 'map<string,variant>')"))
     key = F.coalesce(*[F.expr(f"try_variant_get(_m['{k}'], '$', 'bigint')") for k in ROW_KEYS])
     cells = rows.select("template_id", "sheet_name", "period", "file_id", "pos", key.alias("row_key"), F.explode_outer("_m").alias("field", "_v"))
     cells = cells.filter(F.col("field").isNotNull() & ~F.col("field").isin(*ROW_KEYS, CHILDREN))
@@ -83,6 +83,10 @@ def renames(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     gone = gone.join(both, ["file_id", "sheet_name"], "left_semi")
     value = F.when(F.col("jtype").isNotNull(), F.xxhash64("jtype", "value")).alias("_v")
     keyed = cells.filter("row_key is not null").select(F.col("file_id").alias("_in"), "sheet_name", "row_key", "field", value)
+    # only sheets with both gone and new fields, on either side, are compared row by row
+    new = new.join(gone.select("file_id", "sheet_name").distinct(), ["file_id", "sheet_name"], "left_semi")
+    needed = gone.select("_in", "sheet_name").unionByName(new.select(F.col("file_id").alias("_in"), "sheet_name")).distinct()
+    keyed = keyed.join(needed, ["_in", "sheet_name"], "left_semi")
     # A row of the gone side and one of the new side meet on (file, sheet, row key). A row without the member counts as null there.
     fields = lambda side, name: side.groupBy("file_id", "sheet_name", *(["_in"] if name == "g" else [])).agg(F.collect_set("field").alias("_f"))
     per_row = keyed.groupBy("_in", "sheet_name", "row_key").agg(F.map_from_entries(F.collect_list(F.struct("field", "_v"))).alias("_m"))

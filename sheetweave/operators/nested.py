@@ -1,12 +1,13 @@
 """Nested sheet records as flat tables with parent links.
 
-Each file holds one JSON object (sheet name -> sheet). Higher-order expressions attach the path of every enclosing object
-to each record while it is still inside its array, arrays of the same kind are flattened, and one ``inline`` per target
-table emits the rows. Everything stays in the JVM; no record is parsed in Python.
+Each file holds one JSON object (sheet name -> sheet). A sheet is parsed once into a ``variant``; nested ``transform`` calls attach
+the path of every enclosing object to each record while it is still inside its array, ``flatten`` joins arrays of the same kind,
+and one ``inline`` per target table emits the rows. Everything stays in the JVM; no record is parsed in Python or twice.
 
 Defined results: null, empty or unparsable JSON gives no rows; a null member is an absent one; a lone object where a list
 belongs is element 0; JSON spelled inside a string counts as what it spells; a list element that is no object is skipped but
-keeps its position; repeated deliveries of a file count once (the latest ``loaded_at``).
+keeps its position; of a member written twice the last one counts; repeated deliveries of a file count once (the latest
+``loaded_at``).
 """
 
 from __future__ import annotations
@@ -16,68 +17,75 @@ from pyspark.sql import functions as F
 
 from sheetweave.session import latest
 
-NODE = "array<struct<path: string, parent: string, pos: int, body: string>>"
+NODE = "array<struct<path: string, parent: string, pos: int, body: variant>>"
 KINDS = ("sections", "entries", "media", "rows", "lots")
+_NONE = "cast(null as variant)"
 
 
-def unspell(x: str) -> str:
-    """SQL: JSON text; a JSON string that spells JSON is unwrapped once more."""
-    return f"if(startswith(ltrim({x}), '\"'), from_json(concat('[', {x}, ']'), 'array<string>')[0], {x})"
+def let(x: str, name: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` bound to ``x``, which is so evaluated once."""
+    return f"transform(array({x}), {name} -> {body})[0]"
 
 
-def members(x: str) -> str:
-    """SQL: member name -> JSON text of an object; null if it is none."""
-    return f"if(startswith(ltrim({unspell(x)}), '{{'), from_json({unspell(x)}, 'map<string,string>'), cast(null as map<string,string>))"
+def as_list(x: str) -> str:
+    return f"try_variant_get({x}, '$', 'array<variant>')"
+
+
+def as_map(x: str) -> str:
+    return f"try_variant_get({x}, '$', 'map<string,variant>')"
+
+
+def member(x: str, name: str) -> str:
+    return f"try_variant_get({x}, '$.{name}', 'variant')"
+
+
+def unspelled(x: str) -> str:
+    """SQL: a variant; one that is a string spelling an object or a list is what it spells."""
+    text = let("try_variant_get(u, '$', 'string')", "s", "if(substr(ltrim(s), 1, 1) in ('{', '[', '\"'), coalesce(try_parse_json(s), u), u)")
+    once = lambda v: let(v, "u", f"if(u is null or {as_list('u')} is not null or {as_map('u')} is not null, u, {text})")
+    return once(x)
 
 
 def listed(x: str) -> str:
     """SQL: the elements of a list; a lone object is one element; anything else has none."""
-    t = unspell(x)
-    return (
-        f"coalesce(case when startswith(ltrim({t}), '[') then from_json({t}, 'array<string>') "
-        f"when startswith(ltrim({t}), '{{') then array({t}) end, cast(array() as array<string>))"
-    )
+    return let(unspelled(x), "l", f"coalesce({as_list('l')}, if({as_map('l')} is not null, array(l), cast(array() as array<variant>)))")
 
 
 def nodes(x: str, path: str, parent: str) -> str:
     """SQL: the objects of list ``x`` with their paths under ``path``."""
-    return (
-        f"filter(transform({listed(x)}, (e, i) -> named_struct('path', concat({path}, '/', i), 'parent', {parent}, 'pos', i, "
-        f"'body', {unspell('e')})), n -> json_object_keys(n.body) is not null)"
-    )
+    one = f"named_struct('path', concat({path}, '/', i), 'parent', {parent}, 'pos', i, 'body', {unspelled('e')})"
+    return f"filter(transform({listed(x)}, (e, i) -> {one}), n -> {as_map('n.body')} is not null)"
 
 
 def _flat(of: str, f: str) -> str:
     return f"flatten(transform({of}, {f}))"
 
 
-def _sections_sql(x: str) -> str:
-    """Sections of any depth: a fold goes down one level a turn; the word count of ``children`` bounds the depth."""
-    turns = f"sequence(0, cast(least(size(split({x}, 'children')), 10000) as int))"
+def _sections(x: str, turns: str) -> str:
+    """Sections of any depth: a fold goes down one level a turn; how often ``children`` is written bounds the depth."""
     empty = f"cast(array() as {NODE})"
-    down = _flat("acc.front", "s -> " + nodes("get_json_member(s.body, 'children')", "concat(s.path, '/children')", "s.path"))
-    return (
-        f"aggregate({turns}, named_struct('done', {empty}, 'front', cast({nodes(x, "'/sections'", "''")} as {NODE})), "
-        f"(acc, t) -> if(size(acc.front) = 0, acc, named_struct('done', concat(acc.done, acc.front), 'front', cast({down} as {NODE}))), "
-        f"acc -> concat(acc.done, acc.front))"
-    ).replace("get_json_member(s.body, 'children')", "from_json(s.body, 'children string').children")
+    down = _flat("acc.front", "s -> " + nodes(member("s.body", "children"), "concat(s.path, '/children')", "s.path"))
+    start = f"named_struct('done', {empty}, 'front', cast({nodes(x, chr(39) + '/sections' + chr(39), chr(39) * 2)} as {NODE}))"
+    step = f"if(size(acc.front) = 0, acc, named_struct('done', concat(acc.done, acc.front), 'front', cast({down} as {NODE})))"
+    return f"aggregate(sequence(0, {turns}), {start}, (acc, t) -> {step}, acc -> concat(acc.done, acc.front))"
 
 
 def with_nodes(files: DataFrame, json_col: str = "sheets", keep: tuple[str, ...] = ("file_id",)) -> DataFrame:
     """One row per sheet: ``keep``, ``sheet_name`` and an array of nodes for each kind in ``KINDS``."""
-    sheets = files.select(*keep, F.explode(F.expr(members(json_col))).alias("sheet_name", "_sheet"))
-    part = "from_json(_s, 'sections string, media_map string, data string')"
-    df = sheets.withColumn("_s", F.expr(unspell("_sheet"))).filter(F.col("_s").isNotNull())
-    df = df.withColumn("_p", F.expr(part)).select(*keep, "sheet_name", F.col("_p.sections").alias("_sec"), F.col("_p.media_map").alias("_mm"), F.col("_p.data").alias("_data"))
-    df = df.withColumn("sections", F.expr(f"coalesce({_sections_sql('_sec')}, cast(array() as {NODE}))"))
-    df = df.withColumn("entries", F.expr(_flat("sections", "s -> " + nodes("from_json(s.body, 'entries string').entries", "concat(s.path, '/entries')", "s.path"))))
-    media = _flat(f"map_entries(coalesce({members('_mm')}, map()))", "m -> " + nodes("m.value", "concat('/media_map/', m.key)", "''"))
+    files.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    df = files.select(*keep, F.explode(F.from_json(json_col, "map<string,string>")).alias("sheet_name", "_text"))
+    df = df.select(*keep, "sheet_name", F.expr(unspelled("try_parse_json(_text)")).alias("_v"), F.expr("cast(least(size(split(_text, 'children')), 10000) as int)").alias("_turns"))
+    df = df.filter(F.expr(f"{as_map('_v')} is not null"))
+    df = df.withColumn("sections", F.expr(_sections(member("_v", "sections"), "_turns")))
+    df = df.withColumn("entries", F.expr(_flat("sections", "s -> " + nodes(member("s.body", "entries"), "concat(s.path, '/entries')", "s.path"))))
+    media = _flat(f"map_entries(coalesce({let(unspelled(member('_v', 'media_map')), 'm', as_map('m'))}, map()))", "m -> " + nodes("m.value", "concat('/media_map/', m.key)", "''"))
     df = df.withColumn("media", F.expr(media))
     # data: a list, or an object whose only member is that list; another lone object is row 0
-    df = df.withColumn("_dm", F.expr(members("_data")))
-    df = df.withColumn("_wrap", F.expr(f"if(size(_dm) = 1 and substr(ltrim({unspell('map_values(_dm)[0]')}), 1, 1) in ('[', '{{'), map_keys(_dm)[0], null)"))
-    df = df.withColumn("rows", F.expr(nodes("if(_wrap is null, _data, map_values(_dm)[0])", "concat('/data', coalesce(concat('/', _wrap), ''))", "''")))
-    df = df.withColumn("lots", F.expr(_flat("rows", "r -> " + nodes("from_json(r.body, 'lots string').lots", "concat(r.path, '/lots')", "r.path"))))
+    inner = let(unspelled("map_values(m)[0]"), "w", f"{as_list('w')} is not null or {as_map('w')} is not null")
+    data = let(unspelled(member("_v", "data")), "d", f"named_struct('d', d, 'm', {as_map('d')})")
+    df = df.withColumn("_d", F.expr(data)).withColumn("_wrap", F.expr(let("_d.m", "m", f"if(size(m) = 1 and {inner}, map_keys(m)[0], cast(null as string))")))
+    df = df.withColumn("rows", F.expr(nodes("if(_wrap is null, _d.d, map_values(_d.m)[0])", "concat('/data', coalesce(concat('/', _wrap), ''))", "''")))
+    df = df.withColumn("lots", F.expr(_flat("rows", "r -> " + nodes(member("r.body", "lots"), "concat(r.path, '/lots')", "r.path"))))
     return df.select(*keep, "sheet_name", *KINDS)
 
 
@@ -94,8 +102,7 @@ def flat_table(files: DataFrame, kind: str, fields: dict[str, str]) -> DataFrame
     """
     links = ["file_id", "sheet_name", "node_path", "parent_path", "pos"]
     df = with_nodes(one_delivery(files)).select("file_id", "sheet_name", F.expr(f"inline({kind})"))
-    df = df.withColumn("_m", F.from_json("body", "map<string,string>"))
-    cols: list[Column] = [F.expr(f"try_cast(_m['{c}'] as {t})").alias(c + "_" if c in links else c) for c, t in fields.items()]
+    cols: list[Column] = [F.expr(f"try_variant_get(body, '$.{c}', '{t}')").alias(c + "_" if c in links else c) for c, t in fields.items()]
     return df.select("file_id", "sheet_name", F.col("path").alias("node_path"), F.col("parent").alias("parent_path"), "pos", *cols)
 
 
@@ -106,6 +113,6 @@ def all_nodes(files: DataFrame) -> DataFrame:
 
 
 def row_table(files: DataFrame) -> DataFrame:
-    """The rows of ``data``: their links and the record as JSON, since its fields differ from file to file."""
+    """The rows of ``data``: their links and the record as JSON (members sorted), since its fields differ from file to file."""
     df = with_nodes(one_delivery(files)).select("file_id", "sheet_name", F.expr("inline(rows)"))
-    return df.select("file_id", "sheet_name", F.col("path").alias("node_path"), F.col("parent").alias("parent_path"), "pos", F.col("body").alias("record"))
+    return df.select("file_id", "sheet_name", F.col("path").alias("node_path"), F.col("parent").alias("parent_path"), "pos", F.to_json("body").alias("record"))
