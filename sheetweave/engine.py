@@ -77,7 +77,7 @@ class Engine:
         rows = grid.simple_rows(c).groupBy("file_id", "sheet_idx", "row_idx").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("header", "value")))).alias("m"))
         simple = rows.groupBy("file_id", "sheet_idx").agg(F.array_sort(F.collect_list(F.struct("row_idx", F.to_json("m").alias("j")))).alias("r"))
         simple = simple.select("file_id", "sheet_idx", F.concat(F.lit("["), F.array_join(F.col("r.j"), ", "), F.lit("]")).alias("simple_json"))
-        sheets = names.join(grid.html_tables(c), ["file_id", "sheet_idx"]).join(grid.simple_sheets(c), ["file_id", "sheet_idx"]).join(simple, ["file_id", "sheet_idx"], "left")
+        sheets = names.join(grid.html_tables(c).drop("part_no"), ["file_id", "sheet_idx"]).join(grid.simple_sheets(c), ["file_id", "sheet_idx"]).join(simple, ["file_id", "sheet_idx"], "left")
         out = model.extracted(sheets, self.client, model_name(options.model), options.system_prompt, self._stored() if options.use_cache else None, self.concurrency)
         if self.cache_path and options.use_cache:
             out = out.persist()

@@ -1,8 +1,8 @@
 """The cell grid: delivery, bounding boxes, merged ranges, dense grids, simple tables and HTML.
 
 Cells are rows (file_id, sheet_idx, row_idx, col_idx, value, formula, ...), sparse as read. Every operator is keyed by
-(file_id, sheet_idx), aggregates partially before it shuffles, and assembles text in two steps (cells to rows, rows to a
-sheet), so that no group is larger than one sheet.
+(file_id, sheet_idx), aggregates partially before it shuffles, and assembles text in two steps (cells to rows, rows to parts
+of a sheet), so that no group is larger than a bounded part, whatever the share of one sheet in all cells.
 
 Defined results: sheets without values have no bounding box row; null values render as empty cells; repeated deliveries of a
 coordinate count once (the latest).
@@ -66,13 +66,22 @@ def style_of(style: Column) -> Column:
     return F.concat_ws("; ", F.when(edge != "", edge), F.when(style["bold"], F.lit("font-weight: bold")))
 
 
-def html_tables(cells: DataFrame) -> DataFrame:
-    """file_id, sheet_idx, html: the sheet as an HTML table, its rows in order, empty cells kept."""
+def html_tables(cells: DataFrame, rows_per_part: int | None = None) -> DataFrame:
+    """file_id, sheet_idx, part_no, html: the sheet as an HTML table, its rows in order, empty cells and rows kept.
+
+    With ``rows_per_part`` a longer sheet comes in parts (from 0) that join to the table, so that no group is unbounded.
+    """
+    box = bounding_box(cells, ranges_of(cells))
     d = dense(cells).select(*SHEET, "row_idx", "col_idx", td(F.col("coord"), F.col("value"), F.col("colspan"), F.col("rowspan"), style_of(F.col("style")), F.col("formula"), F.col("unit")).alias("td"))
-    rows = d.groupBy(*SHEET, "row_idx").agg(F.array_sort(F.collect_list(F.struct("col_idx", "td"))).alias("t"))
+    every = box.select(*SHEET, F.explode(F.sequence(F.lit(1), "max_row")).alias("row_idx"), F.lit(0).alias("col_idx"), F.lit("").alias("td"))
+    rows = d.unionByName(every).groupBy(*SHEET, "row_idx").agg(F.array_sort(F.collect_list(F.struct("col_idx", "td"))).alias("t"))
     rows = rows.select(*SHEET, "row_idx", F.concat(F.lit("  <tr>"), F.array_join(F.col("t.td"), ""), F.lit("</tr>")).alias("tr"))
-    sheets = rows.groupBy(*SHEET).agg(F.array_sort(F.collect_list(F.struct("row_idx", "tr"))).alias("t"))
-    return sheets.select(*SHEET, F.concat(F.lit(HEAD + "\n"), F.array_join(F.col("t.tr"), "\n"), F.lit("\n</table>")).alias("html"))
+    part = F.floor((F.col("row_idx") - 1) / rows_per_part).cast("int") if rows_per_part else F.lit(0)
+    parts = rows.groupBy(*SHEET, part.alias("part_no")).agg(F.array_sort(F.collect_list(F.struct("row_idx", "tr"))).alias("t"), F.max("row_idx").alias("_last"))
+    parts = parts.join(box.select(*SHEET, "max_row"), SHEET)
+    head = F.when(F.col("part_no") == 0, HEAD + "\n").otherwise("")
+    tail = F.when(F.col("_last") == F.col("max_row"), "\n</table>").otherwise("\n")
+    return parts.select(*SHEET, "part_no", F.concat(head, F.array_join(F.col("t.tr"), "\n"), tail).alias("html"))
 
 
 def simple_sheets(cells: DataFrame) -> DataFrame:

@@ -68,10 +68,14 @@ def find_coord(values: DataFrame, cells: DataFrame) -> DataFrame:
     """The coordinate of a key's value: a cell equal to it, else one that contains it, else one that contains the key.
 
     values: file_id, sheet_name, key, value; cells: file_id, sheet_name, row_idx, col_idx, coord, value. First in cell order.
+    Equal cells are met by a join on the text; only values without one are held against the texts of their sheet, each once.
     """
-    v = values.select(*KEYS, "key", strip(F.col("value")).alias("_v"))
+    v = values.select(*KEYS, "key", strip(F.col("value")).alias("_v")).distinct()
     c = cells.filter("value is not null").select(*KEYS, "row_idx", "col_idx", "coord", strip(F.col("value")).alias("_c"))
-    some = (F.col("_v") != "") & (F.col("_c") != "")
-    rule = F.when(some & (F.col("_v") == F.col("_c")), 1).when(some & F.contains("_c", "_v"), 2).when(F.contains("_c", "key"), 3)
-    hits = v.join(c, KEYS).withColumn("rule", rule).filter("rule is not null")
-    return hits.groupBy(*KEYS, "key", "_v").agg(F.min(F.struct("rule", "row_idx", "col_idx", "coord")).alias("b")).select(*KEYS, "key", F.col("_v").alias("value"), "b.rule", "b.coord")
+    first = c.groupBy(*KEYS, "_c").agg(F.min(F.struct("row_idx", "col_idx", "coord")).alias("b"))  # a text's first cell
+    equal = v.filter("_v <> ''").join(first.withColumnRenamed("_c", "_v"), [*KEYS, "_v"]).select(*KEYS, "key", "_v", F.lit(1).alias("rule"), "b.coord")
+    rest = v.join(equal.select(*KEYS, "key", "_v"), [*KEYS, "key", "_v"], "left_anti")
+    rule = F.when((F.col("_v") != "") & (F.col("_c") != "") & F.contains("_c", "_v"), 2).when(F.contains("_c", "key"), 3)
+    near = rest.join(first, KEYS).withColumn("rule", rule).filter("rule is not null")
+    near = near.groupBy(*KEYS, "key", "_v").agg(F.min(F.struct("rule", "b")).alias("m")).select(*KEYS, "key", "_v", "m.rule", "m.b.coord")
+    return equal.unionByName(near).select(*KEYS, "key", F.col("_v").alias("value"), "rule", "coord")

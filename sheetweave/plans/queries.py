@@ -226,12 +226,15 @@ _TD = f"""'<td data-coord="' || coord || '"' || CASE WHEN colspan > 1 THEN ' col
 @query(
     f"""
     WITH t AS (SELECT *, CASE WHEN col_idx <= 26 THEN chr((64 + col_idx)::INT) ELSE chr((64 + (col_idx - 1) // 26)::INT) || chr((65 + (col_idx - 1) % 26)::INT) END || row_idx AS coord, {_CSS} AS css FROM {_DENSE}),
-    r AS (SELECT file_id, sheet_idx, row_idx, '  <tr>' || string_agg({_TD}, '' ORDER BY col_idx) || '</tr>' AS tr FROM t GROUP BY ALL)
-    SELECT file_id, sheet_idx, '<table border=''1'' style="border-collapse: collapse; min-width: 100%;">' || chr(10) || string_agg(tr, chr(10) ORDER BY row_idx) || chr(10) || '</table>' AS html FROM r GROUP BY ALL
+    x AS (SELECT file_id, sheet_idx, row_idx, string_agg({_TD}, '' ORDER BY col_idx) AS tds FROM t GROUP BY ALL),
+    b AS (SELECT file_id, sheet_idx, max_row, r AS row_idx FROM {_BOX}, unnest(range(1, max_row + 1)) AS a(r)),
+    r AS (SELECT file_id, sheet_idx, row_idx, max_row, '  <tr>' || coalesce(tds, '') || '</tr>' AS tr FROM b LEFT JOIN x USING (file_id, sheet_idx, row_idx))
+    SELECT file_id, sheet_idx, ((row_idx - 1) // 2000)::INT AS part_no, CASE WHEN (min(row_idx) = 1) THEN '<table border=''1'' style="border-collapse: collapse; min-width: 100%;">' || chr(10) ELSE '' END || string_agg(tr, chr(10) ORDER BY row_idx)
+      || CASE WHEN max(row_idx) = max(max_row) THEN chr(10) || '</table>' ELSE chr(10) END AS html FROM r GROUP BY ALL
     """
 )
 def html_tables(spark: SparkSession, d: str) -> DataFrame:
-    return grid.html_tables(_cells(spark, d))
+    return grid.html_tables(_cells(spark, d), rows_per_part=2000)
 
 
 _SIMPLE = f"""(SELECT file_id, sheet_idx, coalesce(max(row_idx) FILTER (WHERE value IS NOT NULL) >= 2 AND count(*) FILTER (WHERE row_idx = 1 AND value IS NOT NULL) >= 2
@@ -279,7 +282,7 @@ def media_missing(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def html_with_insights(spark: SparkSession, d: str) -> DataFrame:
-    return mediaops.with_insights(grid.html_tables(_cells(spark, d)), mediaops.delivered(table(spark, d, "media")))
+    return mediaops.with_insights(grid.html_tables(_cells(spark, d), rows_per_part=2000), mediaops.delivered(table(spark, d, "media")))
 
 
 # ---- sections, chunks, matches ----
@@ -322,11 +325,14 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def _sections(spark: SparkSession, d: str) -> DataFrame:
     s = _items(spark, d).select("item_no", "file_id", F.col("metadata.sheet_name").alias("sheet_name"), "content")
-    s = chunkops.with_sections(s, "content")
-    return s.withColumn("section_no", F.col("item_no") * 1000 + F.col("section_no"))
+    s = chunkops.with_sections(s, "content").select("file_id", "sheet_name", (F.col("item_no") * 1000 + F.col("section_no")).alias("section_no"), "body")
+    # a sheet's head row is a section as well
+    heads = _cells(spark, d).filter("row_idx = 1 and value is not null").groupBy("file_id", "sheet_name", "sheet_idx").agg(F.array_sort(F.collect_list(F.struct("col_idx", "value"))).alias("h"))
+    return s.unionByName(heads.select("file_id", "sheet_name", (-F.col("sheet_idx") - 1).cast("long").alias("section_no"), F.array_join(F.col("h.value"), " ").alias("body")))
 
 
-_MATCH = f"""(SELECT s.file_id, s.sheet_name, s.item_no * 1000 + s.section_no AS section_no, c.coord, c.formula, c.unit, c.row_idx, c.col_idx FROM {_SECTIONS} s JOIN {_CELLS} c USING (file_id, sheet_name)
+_MATCH = f"""(SELECT s.file_id, s.sheet_name, s.section_no, c.coord, c.formula, c.unit, c.row_idx, c.col_idx FROM (SELECT file_id, sheet_name, item_no * 1000 + section_no AS section_no, body FROM {_SECTIONS}
+    UNION ALL SELECT file_id, sheet_name, -sheet_idx - 1, string_agg(value, ' ' ORDER BY col_idx) FROM {_CELLS} WHERE row_idx = 1 AND value IS NOT NULL GROUP BY file_id, sheet_name, sheet_idx) s JOIN {_CELLS} c USING (file_id, sheet_name)
     WHERE c.value IS NOT NULL AND {_sql_strip("lower(c.value)")} <> '' AND NOT regexp_full_match({_sql_strip("lower(c.value)")}, '\\p{{Nd}}') AND contains(lower(s.body), {_sql_strip("lower(c.value)")}))"""
 
 
