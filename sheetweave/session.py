@@ -16,13 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop) is a
-    temporary folder chosen, so that no machine-local path is ever used on a cluster.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset, a local master (tests, a laptop)
+    gets a temporary folder and a cluster a folder beside its warehouse; a machine-local path is never used on a cluster.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sheetweave-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
+            named = tempfile.mkdtemp(prefix="sheetweave-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        sc.setCheckpointDir(named)
     return df.checkpoint()
 
 
