@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheetweave.llm.leaks import squash
 from sheetweave.session import latest
 
 DEFECTS = ("empty", "refusal", "copy", "language", "truncated")
@@ -49,6 +50,8 @@ WORDS = {
 }
 #: What stands for no answer.
 NOTHING = {"", "-", "...", "…", "n/a", "null", "none", "nil", "[画像概要]", "--", "—", "undefined", "nan"}
+#: What may stand before a copied question.
+PREFIXES = ("", "q", "question", "data", "datahtml", "html", "error", "prompt", "質問")
 #: Ways to decline, in five languages.
 REFUSALS = {
     "en": ("I'm sorry, but I can't help with that.", "I cannot assist with this request.", "I am unable to process this file.", "As an AI model I am not able to do that.", "Unfortunately I am not allowed to handle this content.", "This request was declined.", "I won't be able to extract that."),
@@ -64,14 +67,9 @@ _BLOCK = re.compile(r"^[ \t]*(\{|\[(?=\s*[\[{\"\d\]]|null|true|false))", re.M)
 _TAG = re.compile(r"<[^<>]{0,400}>")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _JAPAN = re.compile(r"[ぁ-ヿ一-鿿々]+")
-_SQUASH = re.compile(r"[\W_]+")
 _FIXED = {"data", "summary", "error", "null", "json", "yaml", "html", "table", "tr", "td", "coord", "b", "req", "n", "x", "y"}
 
 
-def squash(text: str) -> str:
-    return _SQUASH.sub("", text.lower())
-
-
 def language(prompt: str | None) -> str:
     """The language a prompt asks for, or else is written in; empty if neither shows."""
     if not prompt:
@@ -129,7 +127,6 @@ class Pair:
         self.leaves: list[str] = []
         self.depth, self.inside, self.got = 0, False, 0
         self.prose = self.body
-        lines = self.body.splitlines()
         if at >= 0:
             self.prose, block = self.body[:at].strip(), self.body[at:]
             self.depth, self.inside = open_ended(block)
@@ -156,7 +153,7 @@ class Pair:
             self.has_summary = bool(m)
         self.structured = self.json not in (None, False) or self.yaml is not None or self.json is False
         self.text = "\n".join([self.prose, *self.leaves])
-        self.last = lines[-1].strip() if lines else ""
+        self._copied: bool | None = None
 
     def _walk(self, x: object, top: bool = False) -> None:
         if isinstance(x, dict):
@@ -183,19 +180,25 @@ class Pair:
         return all(x.strip().lower() in NOTHING for x in self.leaves)
 
     def copied(self) -> bool:
-        parts = [_TAG.sub(" ", self.prompt), _TAG.sub(" ", self.question)]
-        p, q = squash(parts[0]), squash(parts[1])
-        own = {x for x in (p, q, p + q, q + p) if x} | {squash(x) for x in (self.prompt, self.question, self.prompt + self.question) if x}
-        if not own:
+        if self._copied is None:
+            self._copied = self._is_copy()
+        return self._copied
+
+    def _is_copy(self) -> bool:
+        texts = (self.prompt, self.question, self.prompt + self.question, self.question + self.prompt)
+        own = {squash(x) for t in texts for x in (_TAG.sub(" ", t), t)} - {""}
+        if not own or not self.answer:
             return False
-        strings = self.leaves if self.structured else []
-        for raw in (self.answer, self.prose + " " + " ".join(x for x in strings)):
-            raw = raw.replace("[画像概要]", " ")
-            for t in (_TAG.sub(" ", raw), raw):
-                t = squash(_FENCE.sub(" ", t))
-                for pre in ("", "q", "question", "data", "datahtml", "html", "error", "prompt", "質問"):
-                    u = t[len(pre) :] if t.startswith(pre) else t
-                    if u in own or any(x and len(u) > len(x) and len(u) % len(x) == 0 and u == x * (len(u) // len(x)) for x in own):
+        heads = {x[:6] for x in own}
+        for raw in (self.answer, self.prose + " " + " ".join(self.leaves if self.structured else [])):
+            raw = _FENCE.sub(" ", raw.replace("[画像概要]", " "))
+            for t in (_TAG.sub(" ", raw), raw) if "<" in raw else (raw,):
+                t = squash(t)
+                for pre in PREFIXES:
+                    u = t[len(pre) :]
+                    if not t.startswith(pre) or u[:6] not in heads:
+                        continue
+                    if u in own or any(len(u) > len(x) and len(u) % len(x) == 0 and u == x * (len(u) // len(x)) for x in own):
                         return True
         return False
 
@@ -290,8 +293,8 @@ class Model:
                 err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) / len(part)
                 g = val[:, None] * np.repeat(err, n, axis=0)
                 u, inv = np.unique(idx, return_inverse=True)
-                gu = np.zeros((len(u), y.shape[1]), dtype=np.float32)
-                np.add.at(gu, inv, g)
+                by = np.argsort(inv, kind="stable")
+                gu = np.add.reduceat(g[by], np.searchsorted(inv[by], np.arange(len(u))), axis=0)
                 gu += 1e-5 * self.w[u]
                 h[u] += gu * gu
                 self.w[u] -= 0.3 * gu / np.sqrt(h[u])
