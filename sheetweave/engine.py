@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sheetweave.functions.cells import unit_of
 from sheetweave.functions.names import model_name
 from sheetweave.operators import chunks, documents, grid, markdown, model
+from sheetweave.session import shipped
 from sheetweave.sources import sinks, xlsx
 
 DEFAULT_PROMPT = "Turn the table into structured records and answer with one fenced json block."
@@ -47,7 +48,7 @@ class Engine:
     """Paths of many workbooks in, DataFrames out. ``client`` answers for the model; ``cache_path`` keeps its answers."""
 
     def __init__(self, spark: SparkSession, client: model.Client | None = None, cache_path: str | None = None, concurrency: int | None = None) -> None:
-        self.spark, self.client, self.cache_path = spark, client or model.FakeClient(), cache_path
+        self.spark, self.client, self.cache_path = shipped(spark), client or model.FakeClient(), cache_path
         self.concurrency = concurrency or int(_env("LLM_RPM_LIMIT", "8"))
 
     def _books(self, path: str, max_mb: int) -> DataFrame:

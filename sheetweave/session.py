@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shipped(spark: SparkSession) -> SparkSession:
+    """Give the executors this package, once per application, so that their Python workers find it wherever they start."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sheetweave", None) is None:
+        here = os.path.dirname(os.path.abspath(__file__))
+        at = os.path.join(tempfile.mkdtemp(prefix="sheetweave-"), "sheetweave.zip")
+        with zipfile.ZipFile(at, "w") as z:
+            for folder, _, names in os.walk(here):
+                for n in sorted(names):
+                    if n.endswith(".py"):
+                        z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), os.path.dirname(here)))
+        sc.addPyFile(at)
+        sc._sheetweave = at
+    return spark
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared checkpoint folder.
 
