@@ -237,6 +237,23 @@ def test_garbled(spark):
     assert exact >= len(want) - 1 and back[2000].startswith("Der Kühlkörper")
 
 
+def test_plain_looking_images_are_found(spark):
+    """Images of letters and signs that are proper characters elsewhere, as in documents 281, 5426, 5109, 4470 and 5027 of sf0.1."""
+    docs = [(i, PLAIN[lang] * 3 + f"Teil {i}, Диск муфты", "a") for i, lang in enumerate(list(PLAIN) * 40)]
+    docs += [(500 + i, f"Below 48{i} µm and 13{i} °C the clutch disengages. " * 3, "a") for i in range(40)]
+    bad = {900: "a depth of 288 Вµm after", 901: "(493) at 593 Вµm.", 902: "(910) at 869 В°C.", 903: "Below 486 ¡C the clutch", 904: "(745) at 133 ¡C."}
+    fine = {950: "the map\xa0drawer and the\xa0other; near\xa0the\xa0bridge", 951: "Диск муфты. Диск муфты. Диск муфты."}
+    docs += [(i, t, "b") for i, t in (bad | fine).items()]
+    assert {r.id for r in mojibake.Garbled(spark.createDataFrame(docs, "doc_id long, text string, source string")).found().collect()} == set(bad)
+
+
+def test_images_of_kana_are_doubted():
+    lm = mojibake.Bigrams({})
+    for true, wrong in mojibake.CJK:
+        if wrong in ("cp932", "euc_jp"):
+            assert all(lm.doubtful((c * 2).encode(true).decode(wrong, "replace")) for c in "あいのをんアイノヲンー、。")
+
+
 def test_garbled_of_nothing(spark):
     assert mojibake.Garbled(spark.createDataFrame([], "doc_id long, text string, source string")).found().count() == 0
 
