@@ -254,6 +254,19 @@ def test_images_of_kana_are_doubted():
             assert all(lm.doubtful((c * 2).encode(true).decode(wrong, "replace")) for c in "あいのをんアイノヲンー、。")
 
 
+def test_every_swap_of_a_text_is_undone(spark):
+    docs = [(i, PLAIN[lang] * 3 + f"Teil {i}", "a") for i, lang in enumerate(list(PLAIN) * 40)]
+    docs += [(500 + i, "Испытания. Описание. " * 3, "a") for i in range(40)]
+    de = PLAIN["de"]
+    two = de.encode().decode("cp1252", "replace") + "\n" + de + "\n" + de.encode("cp1252").decode("cp850")
+    docs += [(900, two, "b"), (901, de.encode().decode("mac_roman") + "\n" + "Fl\ufffdche. " + de, "b"), (902, PLAIN["ja"] + "\ufffd\ufffd\ufffd" + PLAIN["ja"] + "\ufffd。", "b"), (903, (PLAIN["ru"] + "Испытания. ").encode().decode("cp1251", "replace"), "b")]
+    back = {r.id: r for r in mojibake.Garbled(spark.createDataFrame(docs, "doc_id long, text string, source string")).restored().collect()}
+    assert back[900].original == de + "\n" + de + "\n" + de
+    assert back[901].swap == "utf-8>mac_roman" and back[901].original.startswith(de)
+    assert back[902].original == docs[-2][1]
+    assert back[903].original == PLAIN["ru"] + "Испытания. "
+
+
 def test_garbled_of_nothing(spark):
     assert mojibake.Garbled(spark.createDataFrame([], "doc_id long, text string, source string")).found().count() == 0
 
