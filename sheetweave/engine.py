@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 from sheetweave.functions.cells import unit_of
 from sheetweave.functions.names import model_name
 from sheetweave.operators import chunks, documents, grid, markdown, model
-from sheetweave.session import shipped
+from sheetweave.operators import media as pictures
+from sheetweave.session import checkpointed, shipped
 from sheetweave.sources import sinks, xlsx
 
+SUMMARY_PROMPT = "この画像の内容を詳細に説明してください。[画像概要] と付けて出力してください。"
+CHART_PROMPT = "この画像がグラフや図表の場合、その軸ラベル、凡例、およびデータ値を抽出し、Markdownのテーブル形式で整理してください。回答の冒頭に [図表データ] と付けて出力してください。"
+LOGIC_NOTES = "- data-formula属性はセルの計算式を示しており、=SUM(...) 等は合計値を意味します。\n- data-unit属性はセルの単位（JPY, PERCENT等）です。"
 DEFAULT_PROMPT = "Turn the table into structured records and answer with one fenced json block."
 
 
@@ -50,6 +54,7 @@ class Engine:
     def __init__(self, spark: SparkSession, client: model.Client | None = None, cache_path: str | None = None, concurrency: int | None = None) -> None:
         self.spark, self.client, self.cache_path = shipped(spark), client or model.FakeClient(), cache_path
         self.concurrency = concurrency or int(_env("LLM_RPM_LIMIT", "8"))
+        self._analysed: dict[tuple[str, ExtractionOptions], DataFrame] = {}
 
     def _books(self, path: str, max_mb: int) -> DataFrame:
         return xlsx.files(self.spark, path, max_mb)
@@ -63,6 +68,21 @@ class Engine:
     def media(self, path: str, options: ExtractionOptions = ExtractionOptions()) -> DataFrame:
         return xlsx.read_media(self._books(path, options.max_file_size_mb))
 
+    def analysed_media(self, path: str, options: ExtractionOptions = ExtractionOptions()) -> DataFrame:
+        """Media with ``visual_summary`` and ``visual_data``, if asked for: each distinct image goes to the model once an engine."""
+        m = self.media(path, options).withColumns({"media_id": F.col("idx").cast("long"), "visual_summary": F.lit(None).cast("string"), "visual_data": F.lit(None).cast("string")})
+        if not options.include_visual_summaries:
+            return m
+        if (path, options) not in self._analysed:
+            m = m.withColumn("image_hash", F.sha2("bytes", 256))
+            images, name = m.filter("bytes is not null").select("image_hash", "bytes"), model_name(options.model)
+            said = model.summarised(images, self.client, name, SUMMARY_PROMPT, concurrency=self.concurrency).select("image_hash", F.col("content").alias("visual_summary"))
+            read = model.summarised(images, self.client, name, CHART_PROMPT, concurrency=self.concurrency).filter(~F.col("content").isin(model.FAILED, model.TOO_LARGE))
+            both = said.join(read.select("image_hash", F.col("content").alias("visual_data")), "image_hash", "left")
+            results = m.select("file_id", "filename", "image_hash").join(both, "image_hash").drop("image_hash")
+            self._analysed[path, options] = checkpointed(pictures.with_results(m.drop("image_hash"), results))
+        return self._analysed[path, options]
+
     def _stored(self) -> DataFrame | None:
         if not self.cache_path:
             return None
@@ -78,8 +98,12 @@ class Engine:
         rows = grid.simple_rows(c).groupBy("file_id", "sheet_idx", "row_idx").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("header", "value")))).alias("m"))
         simple = rows.groupBy("file_id", "sheet_idx").agg(F.array_sort(F.collect_list(F.struct("row_idx", F.to_json("m").alias("j")))).alias("r"))
         simple = simple.select("file_id", "sheet_idx", F.concat(F.lit("["), F.array_join(F.col("r.j"), ", "), F.lit("]")).alias("simple_json"))
-        sheets = names.join(grid.html_tables(c).drop("part_no"), ["file_id", "sheet_idx"]).join(grid.simple_sheets(c), ["file_id", "sheet_idx"]).join(simple, ["file_id", "sheet_idx"], "left")
-        out = model.extracted(sheets, self.client, model_name(options.model), options.system_prompt, self._stored() if options.use_cache else None, self.concurrency)
+        m = self.analysed_media(path, options) if options.include_visual_summaries else None
+        html = grid.html_tables(c, anchors=m).drop("part_no")
+        if m is not None:
+            html = pictures.with_insights(html, m)
+        sheets = names.join(html, ["file_id", "sheet_idx"]).join(grid.simple_sheets(c), ["file_id", "sheet_idx"]).join(simple, ["file_id", "sheet_idx"], "left")
+        out = model.extracted(sheets, self.client, model_name(options.model), options.system_prompt, self._stored() if options.use_cache else None, self.concurrency, notes=LOGIC_NOTES if options.include_logic else "")
         if self.cache_path and options.use_cache:
             out = out.persist()
             new = out.filter("cache_key is not null and error is null").select("cache_key", "content", F.current_timestamp().alias("ts"), F.current_timestamp().alias("loaded_at"))
@@ -99,7 +123,7 @@ class Engine:
     def extract_docx(self, path: str, options: ExtractionOptions = ExtractionOptions()) -> DataFrame:
         """file_id, docx."""
         c = self.cells(path, options).filter("error is null")
-        m = self.media(path, options).filter("bytes is not null").withColumn("visual_summary", F.lit(None).cast("string"))
+        m = self.analysed_media(path, options).filter("bytes is not null")
         return documents.docx_reports(self.extract_structured_data(path, options), c, m)
 
 

@@ -50,9 +50,9 @@ def ranges_of(cells: DataFrame) -> DataFrame:
     return s.select(*SHEET, F.col("row_idx").alias("min_row"), (F.col("row_idx") + F.coalesce("rowspan", F.lit(1)) - 1).alias("max_row"), F.col("col_idx").alias("min_col"), (F.col("col_idx") + F.coalesce("colspan", F.lit(1)) - 1).alias("max_col"))
 
 
-def dense(cells: DataFrame) -> DataFrame:
+def dense(cells: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     """Every visible cell of the bounding box, empty ones too; cells covered by a merged range are left out."""
-    box = bounding_box(cells, ranges_of(cells))
+    box = bounding_box(cells, ranges_of(cells), anchors)
     grid = box.select(*SHEET, F.explode(F.sequence(F.lit(1), "max_row")).alias("row_idx"), "max_col").select(*SHEET, "row_idx", F.explode(F.sequence(F.lit(1), "max_col")).alias("col_idx"))
     covered = merged_cells(ranges_of(cells)).filter("not is_anchor")
     own = cells.select(*SHEET, "row_idx", "col_idx", "value", "formula", "unit", "style", "colspan", "rowspan")
@@ -66,13 +66,14 @@ def style_of(style: Column) -> Column:
     return F.concat_ws("; ", F.when(edge != "", edge), F.when(style["bold"], F.lit("font-weight: bold")))
 
 
-def html_tables(cells: DataFrame, rows_per_part: int | None = None) -> DataFrame:
+def html_tables(cells: DataFrame, rows_per_part: int | None = None, anchors: DataFrame | None = None) -> DataFrame:
     """file_id, sheet_idx, part_no, html: the sheet as an HTML table, its rows in order, empty cells and rows kept.
 
     With ``rows_per_part`` a longer sheet comes in parts (from 0) that join to the table, so that no group is unbounded.
+    With ``anchors`` the table reaches to the images too.
     """
-    box = bounding_box(cells, ranges_of(cells))
-    d = dense(cells).select(*SHEET, "row_idx", "col_idx", td(F.col("coord"), F.col("value"), F.col("colspan"), F.col("rowspan"), style_of(F.col("style")), F.col("formula"), F.col("unit")).alias("td"))
+    box = bounding_box(cells, ranges_of(cells), anchors)
+    d = dense(cells, anchors).select(*SHEET, "row_idx", "col_idx", td(F.col("coord"), F.col("value"), F.col("colspan"), F.col("rowspan"), style_of(F.col("style")), F.col("formula"), F.col("unit")).alias("td"))
     every = box.select(*SHEET, F.explode(F.sequence(F.lit(1), "max_row")).alias("row_idx"), F.lit(0).alias("col_idx"), F.lit("").alias("td"))
     rows = d.unionByName(every).groupBy(*SHEET, "row_idx").agg(F.array_sort(F.collect_list(F.struct("col_idx", "td"))).alias("t"))
     rows = rows.select(*SHEET, "row_idx", F.concat(F.lit("  <tr>"), F.array_join(F.col("t.td"), ""), F.lit("</tr>")).alias("tr"))

@@ -112,10 +112,11 @@ def parsed(responses: DataFrame, content: str = "content", sheet: str | None = N
     return responses.withColumn("_p", F.when(easy, own).otherwise(slow(F.when(~easy, t), name))).select(*responses.columns, "_p.*")
 
 
-def extracted(sheets: DataFrame, client: Client, model: str, prompt: str, stored: DataFrame | None = None, concurrency: int = 8, rounds: int = 2) -> DataFrame:
+def extracted(sheets: DataFrame, client: Client, model: str, prompt: str, stored: DataFrame | None = None, concurrency: int = 8, rounds: int = 2, notes: str = "") -> DataFrame:
     """Structured data of sheets (file_id, sheet_name, html, is_simple, simple_json): cache_key, content, data, error, raw_data.
 
     Simple sheets bypass the model, cached ones the call; the rest goes through at most ``concurrency`` clients at a time.
+    ``notes`` follow the sheet in each request.
     """
     easy = sheets.filter("is_simple").select("file_id", "sheet_name", F.lit(None).cast("string").alias("cache_key"), F.lit(None).cast("string").alias("content"), F.concat(F.lit('{"data": '), F.col("simple_json"), F.lit("}")).alias("data"), F.lit(None).cast("string").alias("error"), F.lit("").alias("raw_data"))
     asked = sheets.filter("not coalesce(is_simple, false)").select("file_id", "sheet_name", "html", llm_key(F.lit(model), F.lit(prompt), F.col("html")).alias("cache_key"))
@@ -126,7 +127,8 @@ def extracted(sheets: DataFrame, client: Client, model: str, prompt: str, stored
         for b in batches:
             out = []
             for html, name in zip(b["html"], b["sheet_name"]):
-                text, answer = html or "", None
+                asked_for = f"{html or ''}\n\n{notes}" if notes else html or ""
+                text, answer = asked_for, None
                 for _ in range(rounds):
                     try:
                         answer = with_retries(lambda: client.complete(model, prompt, text, []))
@@ -135,7 +137,7 @@ def extracted(sheets: DataFrame, client: Client, model: str, prompt: str, stored
                         break
                     if "error" not in (r := read_response(answer, name)):
                         break
-                    text = f"{html}\n\n{r['error']}"
+                    text = f"{asked_for}\n\n{r['error']}"
                 out.append(answer)
             yield b[["file_id", "sheet_name", "cache_key"]].assign(content=out)
 

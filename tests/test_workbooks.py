@@ -95,3 +95,23 @@ def test_command_line(spark, books, tmp_path):
     lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "chunks")).collect()]
     assert lines and {"content", "metadata"} == set(lines[0])
     assert engine.main([str(tmp_path / "absent")], spark) == 1
+
+
+class EchoClient:
+    """Shows in its answer whether chart data and notes reached the model."""
+
+    def complete(self, model, prompt, text, images):
+        if images:
+            return "[図表データ] 1 < 2" if "グラフ" in prompt else "[画像概要] a plan"
+        return json.dumps({"data": [{"chart": "visual-insight" in text, "notes": engine.LOGIC_NOTES in text}]})
+
+
+def test_images_reach_model_and_outputs(spark, books):
+    e = engine.Engine(spark, EchoClient())
+    opt = engine.ExtractionOptions(include_visual_summaries=True, include_logic=True)
+    m = {r.idx: (r.visual_summary, r.visual_data) for r in e.analysed_media(books, opt).filter("source_file = 'good.xlsx' and error is null").collect()}
+    assert m == {0: ("[画像概要] a plan", "[図表データ] 1 < 2")}
+    got = {r.sheet_name: json.loads(r.data) for r in e.extract_structured_data(books, opt).filter("data is not null").collect()}
+    assert got["報告"] == [{"chart": True, "notes": True}]
+    off = {r.sheet_name: json.loads(r.data) for r in e.extract_structured_data(books).filter("data is not null").collect()}
+    assert off["報告"] == [{"chart": False, "notes": False}]
