@@ -64,7 +64,7 @@ TAIL = {"en": "Please send another one.", "ja": "別のものをお送りくだ
 
 _FENCE = re.compile(r"```[a-zA-Z]*")
 _BLOCK = re.compile(r"^[ \t]*(\{|\[(?=\s*[\[{\"\d\]]|null|true|false))", re.M)
-_TAG = re.compile(r"<[^<>]{0,400}>")
+_TAG = re.compile(r"<[^<>]*>")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _JAPAN = re.compile(r"[ぁ-ヿ一-鿿々]+")
 _FIXED = {"data", "summary", "error", "null", "json", "yaml", "html", "table", "tr", "td", "coord", "b", "req", "n", "x", "y"}
@@ -75,7 +75,7 @@ def language(prompt: str | None) -> str:
     if not prompt:
         return ""
     for lang, names in NAMES.items():
-        if any(n in prompt for n in names):
+        if any(n in prompt if n > "\u3000" else re.search(rf"\b{n}\b", prompt) for n in names):
             return lang
     if re.search("[ぁ-んァ-ヶ]", prompt):
         return "ja"
@@ -189,14 +189,14 @@ class Pair:
         own = {squash(x) for t in texts for x in (_TAG.sub(" ", t), t)} - {""}
         if not own or not self.answer:
             return False
-        heads = {x[:6] for x in own}
+        heads = tuple({x[:6] for x in own})
         for raw in (self.answer, self.prose + " " + " ".join(self.leaves if self.structured else [])):
             raw = _FENCE.sub(" ", raw.replace("[画像概要]", " "))
             for t in (_TAG.sub(" ", raw), raw) if "<" in raw else (raw,):
                 t = squash(t)
                 for pre in PREFIXES:
                     u = t[len(pre) :]
-                    if not t.startswith(pre) or u[:6] not in heads:
+                    if not t.startswith(pre) or not u.startswith(heads):
                         continue
                     if u in own or any(len(u) > len(x) and len(u) % len(x) == 0 and u == x * (len(u) // len(x)) for x in own):
                         return True
