@@ -28,6 +28,8 @@ from sheetweave.session import checkpointed
 WORDS, CHARS = 15, 40  # least runs that count as a leak
 GRAM_WORDS, GRAM_CHARS = 5, 12
 MATCH, MISMATCH, GAP = 2, -1, 1
+#: Score of a passage over that of the least run unchanged; score over the item's own that counts as an edited copy of it.
+GATE, EDITED = 0.5, 0.6
 _ASCII = bytes(b for b in range(128) if not chr(b).isalnum())
 _REST = re.compile(r"[\W_]+")
 _RUN = re.compile(r"[^\W_]+")
@@ -55,9 +57,13 @@ class Item:
         self.per_window = self.least - n + 1
 
     def seeds(self, count: dict[str, int]) -> set[str]:
-        """The rarest gram of every window of the least run; ties go to the first."""
+        """The rarest gram of every window of the least run that any text holds; ties go to the first.
+
+        A text with the whole window holds all its grams, so none is missed; windows that stand nowhere whole still seed edited copies.
+        """
         g = self.grams
-        return {min(g[k : k + self.per_window], key=lambda x: count.get(x, 0)) for k in range(len(g) - self.per_window + 1)}
+        windows = ([x for x in g[k : k + self.per_window] if count.get(x)] for k in range(len(g) - self.per_window + 1))
+        return {min(w, key=count.__getitem__) for w in windows if w}
 
 
 def align(a: list[str], b: list[str]) -> tuple[int, int, int]:
@@ -142,10 +148,11 @@ def _gram_hits(docs: DataFrame, grams: list[str], margin: int, id_col: str, text
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_items: int = 20_000) -> DataFrame:
-    """(doc_id, item_id, score, share, run, leaked) for every text that shares a seed with an item.
+    """(doc_id, item_id, score, share, run, kind, leaked) for every text that shares a seed with an item.
 
     ``score`` is the Smith-Waterman score, ``share`` that score over the item's own, ``run`` the longest exact run in the
-    item's units, ``leaked`` whether it is long enough.
+    item's units (0 where the alignment is too weak to hold one), ``kind`` ``exact``, ``edited`` or ``weak``, ``leaked`` whether
+    it is exact.
     """
     own = sorted({(r[0], r[1], r[2]) for r in items.select("item_id", "lang", "item_text").collect() if r[2]}, key=lambda r: (r[0], r[2]))
     out = None
@@ -179,9 +186,11 @@ def _leaks(docs: DataFrame, items: list[Item], id_col: str, text_col: str) -> Da
                         words = [squash(w) for w in passage.split()]
                         words, chars = [w for w in words if w], list("".join(words))
                     score, _, _ = align(it.units, chars if it.ja else words)
-                    best = longest_run(it, passage)
-                    rows.append((doc, it.id, score, score / (MATCH * len(it.units)), best, best >= it.least))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "share", "run", "leaked"])
+                    best = longest_run(it, passage) if score >= GATE * MATCH * it.least else 0
+                    share = score / (MATCH * len(it.units))
+                    kind = "exact" if best >= it.least else "edited" if share >= EDITED else "weak"
+                    rows.append((doc, it.id, score, share, best, kind, kind == "exact"))
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "share", "run", "kind", "leaked"])
 
     kind = dict(docs.dtypes)[id_col]
-    return hits.mapInPandas(run, f"doc_id {kind}, item_id long, score int, share double, run int, leaked boolean").dropDuplicates(["doc_id", "item_id"])
+    return hits.mapInPandas(run, f"doc_id {kind}, item_id long, score int, share double, run int, kind string, leaked boolean").dropDuplicates(["doc_id", "item_id"])

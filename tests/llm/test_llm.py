@@ -236,6 +236,17 @@ def test_leaks(spark):
     assert {(r.doc_id, r.item_id) for r in blocks.collect()} == truth
 
 
+def test_edited_copies_are_reported(spark):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(50)]
+    text = words.copy()
+    text[9::10] = ["edited"] * 5
+    docs = spark.createDataFrame([(1, "before " + " ".join(text) + " after"), (2, " ".join(rnd.sample(words, 50)))], "doc_id long, text string")
+    got = {r.doc_id: r for r in leaks.leaks(docs, spark.createDataFrame([(7, "en", " ".join(words))], "item_id long, lang string, item_text string")).collect()}
+    # no window of 15 words stands there, but seeds do
+    assert got[1].kind == "edited" and not got[1].leaked and got[1].share > 0.8 and 2 not in got
+
+
 def test_alignment():
     a = "a b c d e f".split()
     assert leaks.align(a, "x a b c x e f y".split())[0] == 2 * 5 - 1
