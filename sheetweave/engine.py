@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sheetweave.functions.cells import unit_of
 from sheetweave.functions.names import model_name
+from sheetweave.functions.text import clean_cjk
 from sheetweave.operators import chunks, documents, grid, markdown, model
 from sheetweave.operators import media as pictures
 from sheetweave.session import checkpointed, shipped
@@ -49,10 +50,14 @@ class RagOptions:
 
 
 class Engine:
-    """Paths of many workbooks in, DataFrames out. ``client`` answers for the model; ``cache_path`` keeps its answers."""
-
-    def __init__(self, spark: SparkSession, client: model.Client | None = None, cache_path: str | None = None, concurrency: int | None = None) -> None:
-        self.spark, self.client, self.cache_path = shipped(spark), client or model.FakeClient(), cache_path
+    """Paths of many workbooks in, DataFrames out. ``client`` answers for the model, else a server at ``base_url``; without either
+    a sheet that needs a model is an error. ``cache_path`` keeps the answers."""
+
+    def __init__(self, spark: SparkSession, client: model.Client | None = None, cache_path: str | None = None, concurrency: int | None = None, base_url: str | None = None, api_key: str | None = None, timeout: float | None = None) -> None:
+        url = base_url or os.environ.get("LLM_BASE_URL") or os.environ.get("OLLAMA_BASE_URL")
+        key = api_key or os.environ.get("LLM_API_KEY") or os.environ.get("GEMINI_API_KEY")
+        own = model.HttpClient(url, key, timeout or float(_env("LLM_TIMEOUT", "600"))) if url else model.NoClient()
+        self.spark, self.client, self.cache_path = shipped(spark), client or own, cache_path
         self.concurrency = concurrency or int(_env("LLM_RPM_LIMIT", "8"))
         self._analysed: dict[tuple[str, ExtractionOptions], DataFrame] = {}
 
@@ -62,7 +67,8 @@ class Engine:
     def cells(self, path: str, options: ExtractionOptions = ExtractionOptions()) -> DataFrame:
         """All cells with their unit; formulas only if asked for."""
         df = xlsx.read_cells(self._books(path, options.max_file_size_mb)).withColumn("unit", unit_of(F.col("number_format")))
-        df = df.withColumn("style", F.struct(F.col("borders"), F.col("bold")))
+        df = df.withColumn("value", F.when(F.col("value_type") == "s", clean_cjk(F.col("value"))).otherwise(F.col("value")))
+        df = df.withColumn("style", F.struct("fill", "borders", "bold", "italic"))
         return df if options.include_logic else df.withColumn("formula", F.lit(None).cast("string"))
 
     def media(self, path: str, options: ExtractionOptions = ExtractionOptions()) -> DataFrame:
@@ -95,8 +101,12 @@ class Engine:
         """file_id, sheet_name, data, error, raw_data; answers are appended to the cache."""
         c = self.cells(path, options).filter("error is null")
         names = c.groupBy("file_id", "sheet_idx").agg(F.first("sheet_name").alias("sheet_name"))
-        rows = grid.simple_rows(c).groupBy("file_id", "sheet_idx", "row_idx").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("header", "value")))).alias("m"))
-        simple = rows.groupBy("file_id", "sheet_idx").agg(F.array_sort(F.collect_list(F.struct("row_idx", F.to_json("m").alias("j")))).alias("r"))
+        # members in column order, values of their types
+        name = F.regexp_extract(F.to_json(F.struct(F.col("header").alias("h"))), r'(?s)^\{"h":(.*)\}$', 1)
+        pairs = grid.simple_rows(c).withColumn("p", F.concat(name, F.lit(": "), "json"))
+        rows = pairs.groupBy("file_id", "sheet_idx", "row_idx").agg(F.array_sort(F.collect_list(F.struct("col_idx", "p"))).alias("m"))
+        rows = rows.withColumn("j", F.concat(F.lit("{"), F.array_join("m.p", ", "), F.lit("}")))
+        simple = rows.groupBy("file_id", "sheet_idx").agg(F.array_sort(F.collect_list(F.struct("row_idx", "j"))).alias("r"))
         simple = simple.select("file_id", "sheet_idx", F.concat(F.lit("["), F.array_join(F.col("r.j"), ", "), F.lit("]")).alias("simple_json"))
         m = self.analysed_media(path, options) if options.include_visual_summaries else None
         html = grid.html_tables(c, anchors=m).drop("part_no")
@@ -111,13 +121,17 @@ class Engine:
             (new if stored is None else new.join(stored.select("cache_key"), "cache_key", "left_anti")).write.mode("append").parquet(self.cache_path)
         return out
 
+    def sheet_markdown(self, path: str, options: ExtractionOptions = ExtractionOptions(), list_format: str = "table") -> DataFrame:
+        """file_id, source_file, sheet_name, markdown of every sheet with data."""
+        source = self.cells(path, options).filter("error is null").select("file_id", "source_file").distinct()
+        md = self.extract_structured_data(path, options).filter("data is not null").join(source, "file_id")
+        return md.select("file_id", "source_file", "sheet_name", F.concat(F.lit("# "), "sheet_name", F.lit("\n\n"), markdown.markdown(F.col("data"), list_format)).alias("markdown"))
+
     def extract_rag_chunks(self, path: str, options: ExtractionOptions = ExtractionOptions(), rag: RagOptions | None = None, extraction_date: str = "") -> DataFrame:
         """(file_id, content, metadata) of every sheet."""
         rag = rag or RagOptions()
         c = self.cells(path, options).filter("error is null")
-        source = c.select("file_id", "source_file").distinct()
-        md = self.extract_structured_data(path, options).filter("data is not null").join(source, "file_id")
-        md = md.select("file_id", "sheet_name", "source_file", F.concat(F.lit("# "), "sheet_name", F.lit("\n\n"), markdown.markdown(F.col("data"), rag.list_format)).alias("markdown"))
+        md = self.sheet_markdown(path, options, rag.list_format)
         return chunks.contextual_chunks(md, c, self.media(path, options), extraction_date, rag.max_chunk_chars, rag.chunk_overlap_lines, rag.include_coordinates, options.include_logic and rag.include_logic_annotations, rag.output_format == "yaml_frontmatter")
 
     def extract_docx(self, path: str, options: ExtractionOptions = ExtractionOptions()) -> DataFrame:
@@ -149,15 +163,32 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, clien
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("sheetweave").getOrCreate()
     opt = ExtractionOptions(a.model, a.system_prompt or DEFAULT_PROMPT, a.visual_summaries or not a.no_vision, not a.no_vision, a.include_logic, a.dpi)
-    e = Engine(spark, client, os.path.join(a.output_dir, "cache"), a.rpm)
+    spark.sparkContext.setLogLevel("INFO" if a.verbose else "WARN")
+    e = Engine(spark, client, os.path.join(a.output_dir, "cache"), a.rpm, a.base_url, a.api_key, a.timeout)
+    stem = lambda df: df.withColumn("stem", F.regexp_replace("source_file", r"\.xlsx$", ""))
     try:
+        refused = [r.path for r in xlsx.oversized(spark, a.input, opt.max_file_size_mb).select("path").limit(20).collect()]
+        if refused:
+            raise ValueError(f"files beyond {opt.max_file_size_mb} MB: {refused}")
         if a.docx or a.rag and a.rag_format == "docx":
-            sinks.write_files(e.extract_docx(a.input, opt), a.output_dir, "file_id", "docx", ".docx")
+            sinks.write_files(e.extract_docx(a.input, opt), a.output_dir, ["file_id"], "docx", ".docx")
         elif a.rag:
             rag = RagOptions("kv", a.rag_format, a.max_chunk_chars, a.chunk_overlap_lines, not a.no_coordinates, not a.no_logic_annotations)
-            sinks.write_jsonl(e.extract_rag_chunks(a.input, opt, rag), os.path.join(a.output_dir, "chunks"))
+            parts = e.extract_rag_chunks(a.input, opt, rag).persist()
+            md = e.sheet_markdown(a.input, opt).persist()
+            if a.rag_format == "jsonl":
+                sinks.write_jsonl(parts, os.path.join(a.output_dir, "chunks"))
+            elif a.rag_format == "markdown":
+                sinks.write_files(stem(md).withColumn("folder", F.concat("stem", F.lit("_rag"))), a.output_dir, ["folder", "sheet_name"], "markdown", ".md")
+            else:
+                own = stem(parts.withColumn("source_file", F.col("metadata.source_file"))).withColumn("folder", F.concat("stem", F.lit("_rag")))
+                own = own.withColumn("name", F.concat("metadata.sheet_name", F.lit("_chunk_"), F.col("metadata.chunk_index").cast("string")))
+                sinks.write_files(own, a.output_dir, ["folder", "name"], "content", ".md")
+            sinks.write_files(stem(sinks.rag_index(parts, md)).withColumn("name", F.concat("stem", F.lit("_rag"))), a.output_dir, ["name"], "index", ".json")
         else:
-            sinks.write_results(e.extract_structured_data(a.input, opt).select("file_id", "sheet_name", "data", "error", "raw_data"), os.path.join(a.output_dir, "result"))
+            source = e.cells(a.input, opt).filter("error is null").select("file_id", "source_file").distinct()
+            found = e.extract_structured_data(a.input, opt).join(source, "file_id")
+            sinks.write_files(stem(sinks.file_results(found)).withColumn("name", F.concat("stem", F.lit("_result"))), a.output_dir, ["name"], "result", ".json")
     except Exception as x:
         print(f"error: {x}")
         return 1

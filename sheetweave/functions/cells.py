@@ -77,6 +77,14 @@ def logic_note(coord: Column, formula: Column, unit: Column, quote: bool = True)
     return F.concat(F.lit(("> " if quote else "") + "ℹ️ セル "), coord, F.lit(" は計算式 `"), formula, F.lit("`"), u, F.lit(" から導出された集計値です。"))
 
 
-def header_name(value: Column, col: Column) -> Column:
-    """Header text; an empty, zero or false one becomes ``ColumnN``."""
-    return F.when(value.isNull() | value.isin("", "0", "0.0", "False", "false"), F.concat(F.lit("Column"), col.cast("string"))).otherwise(value)
+def header_name(value: Column, kind: Column, col: Column) -> Column:
+    """Header text; an empty one, the number zero and the boolean false become ``ColumnN``, a text "0" or "False" stays."""
+    nothing = value.isNull() | (value == "") | ((kind == "n") & (value.try_cast("double") == 0)) | ((kind == "b") & (F.lower(value) == "false"))
+    return F.when(F.coalesce(nothing, F.lit(False)), F.concat(F.lit("Column"), col.cast("string"))).otherwise(value)
+
+
+def json_value(value: Column, kind: Column) -> Column:
+    """A cell's value as JSON of its type."""
+    text = F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    number = (kind == "n") & value.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$")
+    return F.when(number, value).when((kind == "b") & F.lower(value).isin("true", "false"), F.lower(value)).otherwise(text)

@@ -35,15 +35,13 @@ def line_table(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def image_at(text: str, at: int = 0) -> tuple[int, int, str, str] | None:
-    """The first image reference from ``at``: start, end, alternative text, path. Parentheses in the path may nest."""
-    m = IMAGE.search(text, at)
-    if not m:
-        return None
-    depth = 1
-    for i in range(m.end(), len(text)):
-        depth += {"(": 1, ")": -1}.get(text[i], 0)
-        if depth == 0:
-            return m.start(), i + 1, m.group(1), text[m.end() : i]
+    """The first image reference from ``at``: start, end, alternative text, path. Parentheses in the path may nest; unbalanced ones are passed over."""
+    for m in IMAGE.finditer(text, at):
+        depth = 1
+        for p in re.compile(r"[()]").finditer(text, m.end()):
+            depth += 1 if p.group() == "(" else -1
+            if depth == 0:
+                return m.start(), p.end(), m.group(1), text[m.end() : p.start()]
     return None
 
 
@@ -308,6 +306,19 @@ def structured_blocks(data: object, cells: list[dict], media: list[dict]) -> lis
     return blocks
 
 
+def _raw_rows(cells: list[dict]) -> list[list]:
+    """The cells of a sheet at their places, blanks between them included, those under a merged range left out."""
+    at = {(c["row_idx"], c["col_idx"]): c for c in cells}
+    under = {(r, k) for (r0, k0), c in at.items() for r in range(r0, r0 + int(c["rowspan"])) for k in range(k0, k0 + int(c["colspan"]))} - at.keys()
+    width = max((k for _, k in [*at, *under]), default=0)
+
+    def one(r: int, k: int) -> tuple[str, int, int]:
+        c = at.get((r, k))
+        return ("", 1, 1) if c is None else (f"[{c['coord']}] {c['value'] or ''}", int(c["colspan"]), int(c["rowspan"]))
+
+    return [[one(r, k) for k in range(1, width + 1) if (r, k) not in under] for r in sorted({r for r, _ in at})]
+
+
 def docx_reports(results: DataFrame, cells: DataFrame, media: DataFrame) -> DataFrame:
     """A DOCX per file from structured results (file_id, sheet_name, data), with the raw table where a sheet has none.
 
@@ -338,10 +349,7 @@ def docx_reports(results: DataFrame, cells: DataFrame, media: DataFrame) -> Data
                 except ValueError:
                     data = None
                 if not find_table(data)[1]:
-                    raw: dict[int, list] = {}
-                    for x in own:
-                        raw.setdefault(x["row_idx"], []).append((f"[{x['coord']}] {x['value'] or ''}", int(x["colspan"]), int(x["rowspan"])))
-                    blocks.append(("table", [raw[k] for k in sorted(raw)]))
+                    blocks.append(("table", _raw_rows(own)))
                 blocks += [*structured_blocks(data, own, pics), ("break", None)]
             out.append(docx_bytes(blocks))
         return pd.Series(out)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheetweave.functions.cells import border_css, header_name, is_formula, td
+from sheetweave.functions.cells import border_css, css, header_name, is_formula, json_value, td
 from sheetweave.functions.coords import coord_name
 
 SHEET = ["file_id", "sheet_idx"]
@@ -60,8 +60,10 @@ def dense(cells: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     return shown.withColumn("coord", coord_name(F.col("row_idx"), F.col("col_idx")))
 
 
-def style_of(style: Column) -> Column:
-    """CSS of a cell's style struct."""
+def style_of(style: Column, members: list[str]) -> Column:
+    """CSS of a cell's style struct: fill and slant where it has them, borders, weight."""
+    if {"fill", "italic"} <= set(members):
+        return css(style["fill"], style["borders"], style["bold"], style["italic"])
     edge = border_css(style["borders"])
     return F.concat_ws("; ", F.when(edge != "", edge), F.when(style["bold"], F.lit("font-weight: bold")))
 
@@ -73,7 +75,7 @@ def html_tables(cells: DataFrame, rows_per_part: int | None = None, anchors: Dat
     With ``anchors`` the table reaches to the images too.
     """
     box = bounding_box(cells, ranges_of(cells), anchors)
-    d = dense(cells, anchors).select(*SHEET, "row_idx", "col_idx", td(F.col("coord"), F.col("value"), F.col("colspan"), F.col("rowspan"), style_of(F.col("style")), F.col("formula"), F.col("unit")).alias("td"))
+    d = dense(cells, anchors).select(*SHEET, "row_idx", "col_idx", td(F.col("coord"), F.col("value"), F.col("colspan"), F.col("rowspan"), style_of(F.col("style"), cells.schema["style"].dataType.names), F.col("formula"), F.col("unit")).alias("td"))
     every = box.select(*SHEET, F.explode(F.sequence(F.lit(1), "max_row")).alias("row_idx"), F.lit(0).alias("col_idx"), F.lit("").alias("td"))
     rows = d.unionByName(every).groupBy(*SHEET, "row_idx").agg(F.array_sort(F.collect_list(F.struct("col_idx", "td"))).alias("t"))
     rows = rows.select(*SHEET, "row_idx", F.concat(F.lit("  <tr>"), F.array_join(F.col("t.td"), ""), F.lit("</tr>")).alias("tr"))
@@ -96,12 +98,13 @@ def simple_sheets(cells: DataFrame) -> DataFrame:
 
 
 def simple_rows(cells: DataFrame) -> DataFrame:
-    """Rows of simple tables in long form: file_id, sheet_idx, row_idx, col_idx, header, value; nulls left out.
+    """Rows of simple tables in long form: file_id, sheet_idx, row_idx, col_idx, header, value, json (of its type); nulls left out.
 
     Of columns with the same header the last value of a row counts.
     """
     own = cells.join(simple_sheets(cells).filter("is_simple"), SHEET, "left_semi")
-    heads = own.filter("row_idx = 1").select(*SHEET, "col_idx", F.col("value").alias("_h"))
-    body = own.filter("row_idx > 1 and value is not null").select(*SHEET, "row_idx", "col_idx", "value").join(heads, [*SHEET, "col_idx"], "left")
-    body = body.withColumn("header", header_name(F.col("_h"), F.col("col_idx")))
-    return body.groupBy(*SHEET, "row_idx", "header").agg(F.max(F.struct("col_idx", "value")).alias("b")).select(*SHEET, "row_idx", "b.col_idx", "header", "b.value")
+    heads = own.filter("row_idx = 1").select(*SHEET, "col_idx", F.col("value").alias("_h"), F.col("value_type").alias("_k"))
+    body = own.filter("row_idx > 1 and value is not null").select(*SHEET, "row_idx", "col_idx", "value", json_value(F.col("value"), F.col("value_type")).alias("json")).join(heads, [*SHEET, "col_idx"], "left")
+    body = body.withColumn("header", header_name(F.col("_h"), F.col("_k"), F.col("col_idx")))
+    last = F.max(F.struct("col_idx", "value", "json")).alias("b")
+    return body.groupBy(*SHEET, "row_idx", "header").agg(last).select(*SHEET, "row_idx", "b.col_idx", "header", "b.value", "b.json")

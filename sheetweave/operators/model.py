@@ -44,6 +44,47 @@ class FakeClient:
         return json.dumps({"data": [{"model": model, "chars": len(text), "images": len(images)}]})
 
 
+class NoClient:
+    """Stands where no model was given: a sheet or an image that needs one ends the job."""
+
+    def complete(self, model: str, prompt: str, text: str, images: list[bytes]) -> str:
+        raise RuntimeError("this input needs a model, but no client and no base URL was given")
+
+
+WANTED_FORM = "Answer with one fenced json block."
+
+
+def messages(prompt: str, text: str, images: list[bytes]) -> list[dict]:
+    """The messages of a request: system, then the text, the images and, for texts, the wanted form."""
+    import base64
+
+    parts: list[dict] = [{"type": "text", "text": text}] if text else [{"type": "text", "text": prompt}]
+    parts += [{"type": "image_url", "image_url": {"url": "data:image/png;base64," + base64.b64encode(i).decode()}} for i in images]
+    if not text:
+        return [{"role": "user", "content": parts}]
+    return [{"role": "system", "content": prompt}, {"role": "user", "content": [*parts, {"type": "text", "text": WANTED_FORM}]}]
+
+
+class HttpClient:
+    """A client of any server with the common chat-completions interface."""
+
+    def __init__(self, base_url: str, api_key: str | None = None, timeout: float = 600) -> None:
+        self.url, self.key, self.timeout = base_url.rstrip("/") + "/chat/completions", api_key, timeout
+
+    def complete(self, model: str, prompt: str, text: str, images: list[bytes]) -> str:
+        from urllib import error, request
+
+        body = {"model": model, "messages": messages(prompt, text, images)}
+        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        try:
+            with request.urlopen(request.Request(self.url, json.dumps(body).encode(), head), timeout=self.timeout) as r:
+                return json.loads(r.read())["choices"][0]["message"]["content"] or ""
+        except error.HTTPError as e:
+            raise ModelError(f"{e.code} {e.reason}", e.code) from e
+        except (OSError, ValueError, KeyError, IndexError) as e:
+            raise ModelError(str(e)) from e
+
+
 def with_retries(call: Callable[[], str], sleep: Callable[[float], None] = time.sleep) -> str:
     """Call again after 2, 4 and 8 seconds while the failure may pass (no status, 429, 5xx)."""
     for n in range(RETRIES + 1):
@@ -62,7 +103,7 @@ def prompt_messages(prompt: Column, html: Column, notes: Column, images: Column)
     part = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("content"))
     body = F.when(F.coalesce(notes, F.lit("")) != "", F.concat(html, F.lit("\n\n"), notes)).otherwise(html)
     head = F.array(part("system", prompt), part("text", body))
-    return F.concat(head, F.transform(F.coalesce(images, F.array().cast("array<string>")), lambda u: part("image_url", u)), F.array(part("text", F.lit("Answer with one fenced json block."))))
+    return F.concat(head, F.transform(F.coalesce(images, F.array().cast("array<string>")), lambda u: part("image_url", u)), F.array(part("text", F.lit(WANTED_FORM))))
 
 
 def read_response(content: str, sheet: str | None = None) -> dict:

@@ -74,7 +74,7 @@ def with_nodes(files: DataFrame, json_col: str = "sheets", keep: tuple[str, ...]
     """One row per sheet: ``keep``, ``sheet_name`` and an array of nodes for each kind in ``KINDS``."""
     files.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     df = files.select(*keep, F.explode(F.from_json(json_col, "map<string,string>")).alias("sheet_name", "_text"))
-    df = df.select(*keep, "sheet_name", F.expr(unspelled("try_parse_json(_text)")).alias("_v"), F.expr("cast(least(size(split(_text, 'children')), 10000) as int)").alias("_turns"))
+    df = df.select(*keep, "sheet_name", F.expr(unspelled("try_parse_json(_text)")).alias("_v"), F.expr("size(split(_text, 'children'))").alias("_turns"))
     df = df.filter(F.expr(f"{as_map('_v')} is not null"))
     df = df.withColumn("sections", F.expr(_sections(member("_v", "sections"), "_turns")))
     df = df.withColumn("entries", F.expr(_flat("sections", "s -> " + nodes(member("s.body", "entries"), "concat(s.path, '/entries')", "s.path"))))

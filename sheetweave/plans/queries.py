@@ -123,12 +123,12 @@ def unit_class(spark: SparkSession, d: str) -> DataFrame:
     """
     SELECT cell_id, try_cast(nullif(regexp_extract(upper(coord), '^([A-Z]+)([0-9]+)$', 2), '') AS INT) AS r,
       CASE WHEN regexp_extract(upper(coord), '^([A-Z]+)([0-9]+)$', 1) <> '' THEN list_reduce([0] || list_transform(string_split(regexp_extract(upper(coord), '^([A-Z]+)([0-9]+)$', 1), ''), lambda x: (ascii(x) - 64)::INT), lambda a, x: a * 26 + x) END AS c,
-      CASE WHEN col_idx <= 26 THEN chr((64 + col_idx)::INT) ELSE chr((64 + (col_idx - 1) // 26)::INT) || chr((65 + (col_idx - 1) % 26)::INT) END || row_idx AS coord_again
-    FROM cells WHERE col_idx <= 702
+      CASE WHEN col_idx > 702 THEN chr((65 + (col_idx - 703) // 676)::INT) ELSE '' END || CASE WHEN col_idx > 26 THEN chr((65 + (col_idx - 27) // 26 % 26)::INT) ELSE '' END || chr((65 + (col_idx - 1) % 26)::INT) || row_idx AS coord_again
+    FROM cells
     """
 )
 def coordinates(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "cells").filter("col_idx <= 702")
+    c = table(spark, d, "cells")
     return c.select("cell_id", coords.row_of(F.col("coord")).alias("r"), coords.col_of(F.col("coord")).alias("c"), coords.coord_name(F.col("row_idx"), F.col("col_idx")).alias("coord_again"))
 
 
@@ -248,14 +248,14 @@ def simple_sheets(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""
-    SELECT b.file_id, b.sheet_idx, b.row_idx, b.col_idx, CASE WHEN h.value IS NULL OR h.value IN ('', '0', '0.0', 'False', 'false') THEN 'Column' || b.col_idx ELSE h.value END AS header, b.value
+    SELECT b.file_id, b.sheet_idx, b.row_idx, b.col_idx, CASE WHEN coalesce(h.value, '') = '' OR h.value_type = 'n' AND try_cast(h.value AS DOUBLE) = 0 OR h.value_type = 'b' AND lower(h.value) = 'false' THEN 'Column' || b.col_idx ELSE h.value END AS header, b.value
     FROM {_CELLS} b SEMI JOIN (SELECT * FROM {_SIMPLE} WHERE is_simple) s USING (file_id, sheet_idx)
-    LEFT JOIN (SELECT file_id, sheet_idx, col_idx, value FROM {_CELLS} WHERE row_idx = 1) h USING (file_id, sheet_idx, col_idx)
+    LEFT JOIN (SELECT file_id, sheet_idx, col_idx, value, value_type FROM {_CELLS} WHERE row_idx = 1) h USING (file_id, sheet_idx, col_idx)
     WHERE b.row_idx > 1 AND b.value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY b.file_id, b.sheet_idx, b.row_idx, header ORDER BY b.col_idx DESC) = 1
     """
 )
 def simple_rows(spark: SparkSession, d: str) -> DataFrame:
-    return grid.simple_rows(_cells(spark, d))
+    return grid.simple_rows(_cells(spark, d)).drop("json")
 
 
 # ---- media ----
@@ -325,14 +325,14 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def _sections(spark: SparkSession, d: str) -> DataFrame:
     s = _items(spark, d).select("item_no", "file_id", F.col("metadata.sheet_name").alias("sheet_name"), "content")
-    s = chunkops.with_sections(s, "content").select("file_id", "sheet_name", (F.col("item_no") * 1000 + F.col("section_no")).alias("section_no"), "body")
+    s = chunkops.with_sections(s, "content").select("file_id", "sheet_name", F.concat_ws("#", "item_no", "section_no").alias("section_no"), "body")
     # a sheet's head row is a section as well
     heads = _cells(spark, d).filter("row_idx = 1 and value is not null").groupBy("file_id", "sheet_name", "sheet_idx").agg(F.array_sort(F.collect_list(F.struct("col_idx", "value"))).alias("h"))
-    return s.unionByName(heads.select("file_id", "sheet_name", (-F.col("sheet_idx") - 1).cast("long").alias("section_no"), F.array_join(F.col("h.value"), " ").alias("body")))
+    return s.unionByName(heads.select("file_id", "sheet_name", F.concat(F.lit("head#"), F.col("sheet_idx").cast("string")).alias("section_no"), F.array_join(F.col("h.value"), " ").alias("body")))
 
 
-_MATCH = f"""(SELECT s.file_id, s.sheet_name, s.section_no, c.coord, c.formula, c.unit, c.row_idx, c.col_idx FROM (SELECT file_id, sheet_name, item_no * 1000 + section_no AS section_no, body FROM {_SECTIONS}
-    UNION ALL SELECT file_id, sheet_name, -sheet_idx - 1, string_agg(value, ' ' ORDER BY col_idx) FROM {_CELLS} WHERE row_idx = 1 AND value IS NOT NULL GROUP BY file_id, sheet_name, sheet_idx) s JOIN {_CELLS} c USING (file_id, sheet_name)
+_MATCH = f"""(SELECT s.file_id, s.sheet_name, s.section_no, c.coord, c.formula, c.unit, c.row_idx, c.col_idx FROM (SELECT file_id, sheet_name, item_no || '#' || section_no AS section_no, body FROM {_SECTIONS}
+    UNION ALL SELECT file_id, sheet_name, 'head#' || sheet_idx, string_agg(value, ' ' ORDER BY col_idx) FROM {_CELLS} WHERE row_idx = 1 AND value IS NOT NULL GROUP BY file_id, sheet_name, sheet_idx) s JOIN {_CELLS} c USING (file_id, sheet_name)
     WHERE c.value IS NOT NULL AND {_sql_strip("lower(c.value)")} <> '' AND NOT regexp_full_match({_sql_strip("lower(c.value)")}, '\\p{{Nd}}') AND contains(lower(s.body), {_sql_strip("lower(c.value)")}))"""
 
 

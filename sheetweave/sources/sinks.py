@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,23 +27,39 @@ def write_results(results: DataFrame, path: str) -> None:
 
 
 def rag_index(chunks: DataFrame, markdown: DataFrame) -> DataFrame:
-    """file_id, sheet_name, n_chunks, markdown: the index of a file's sheets."""
-    n = chunks.groupBy("file_id", F.col("metadata.sheet_name").alias("sheet_name")).agg(F.count("*").alias("n_chunks"))
-    return markdown.join(n, ["file_id", "sheet_name"], "left").select("file_id", "sheet_name", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), "markdown")
+    """file_id, source_file, index: chunk count and Markdown of each sheet of a file as one JSON object."""
+    n = chunks.groupBy("file_id", F.col("metadata.sheet_name").alias("sheet_name")).agg(F.count("*").alias("n"))
+    per = markdown.join(n, ["file_id", "sheet_name"], "left").select("file_id", "source_file", "sheet_name", F.struct(F.coalesce("n", F.lit(0)).alias("chunks"), "markdown").alias("x"))
+    one = F.map_from_entries(F.array_sort(F.collect_list(F.struct("sheet_name", "x"))))
+    return per.groupBy("file_id", "source_file").agg(F.to_json(one, {"pretty": "true"}).alias("index"))
 
 
-def write_files(df: DataFrame, folder: str, name: str, content: str, suffix: str) -> None:
-    """Each row's text or bytes as a file of its own in a shared folder; names are made safe. Written where the rows are."""
+def file_results(results: DataFrame) -> DataFrame:
+    """file_id, source_file, result: the sheets of a file as one JSON object (members of a sheet keep their order)."""
+    text = F.concat(F.to_json(F.struct(F.col("sheet_name").alias("n"))), F.lit(""))
+    name = F.regexp_extract(text, r'(?s)^\{"n":(.*)\}$', 1)
+    own = F.concat(F.lit("    "), name, F.lit(": "), F.coalesce("data", F.to_json(F.struct("error"))))
+    g = results.groupBy("file_id", "source_file").agg(F.array_sort(F.collect_list(F.struct("sheet_name", own.alias("t")))).alias("s"))
+    return g.select("file_id", "source_file", F.concat(F.lit('{\n  "sheets": {\n'), F.array_join("s.t", ",\n"), F.lit("\n  }\n}")).alias("result"))
+
+
+def write_files(df: DataFrame, folder: str, names: list[str], content: str, suffix: str) -> None:
+    """Each row's text or bytes as a file of its own under the folder of its first names, all made safe, in any file system that
+    the executors reach by its URI. Written where the rows are; a file appears whole, whichever attempt ends first."""
 
     def save(rows) -> None:
-        os.makedirs(folder, exist_ok=True)
+        from pyarrow import fs
+
+        disk, base = fs.FileSystem.from_uri(folder if "://" in folder else os.path.abspath(folder))
         for r in rows:
             data = r[content]
             if data is None:
                 continue
-            at = os.path.join(folder, safe_name(r[name]) + suffix)
-            with open(at + ".part", "wb") as f:
-                f.write(data if isinstance(data, (bytes, bytearray)) else data.encode())
-            os.replace(at + ".part", at)  # whole files only, whichever attempt ends first
-
-    df.select(name, content).foreachPartition(save)
+            at = "/".join([base, *(safe_name(str(r[n])) for n in names)]) + suffix
+            disk.create_dir(at.rsplit("/", 1)[0], recursive=True)
+            part = f"{at}.{uuid.uuid4().hex}.part"
+            with disk.open_output_stream(part) as f:
+                f.write(bytes(data) if isinstance(data, (bytes, bytearray)) else data.encode())
+            disk.move(part, at)
+
+    df.select(*names, content).foreachPartition(save)

@@ -18,10 +18,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheetweave.functions.names import safe_name
+
 MAX_MB = 50
 MAX_IMAGE_BYTES = 20_971_520
 # Number formats that workbooks refer to by number only.
-FORMATS = {1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 14: "mm-dd-yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "m/d/yy h:mm", 49: "@"}
+FORMATS = {
+    1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 5: '"$"#,##0_);("$"#,##0)', 6: '"$"#,##0_);[Red]("$"#,##0)', 7: '"$"#,##0.00_);("$"#,##0.00)', 8: '"$"#,##0.00_);[Red]("$"#,##0.00)',
+    9: "0%", 10: "0.00%", 11: "0.00E+00", 12: "# ?/?", 13: "# ??/??", 14: "mm-dd-yy", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm AM/PM", 19: "h:mm:ss AM/PM", 20: "h:mm", 21: "h:mm:ss", 22: "m/d/yy h:mm",
+    37: "#,##0_);(#,##0)", 38: "#,##0_);[Red](#,##0)", 39: "#,##0.00_);(#,##0.00)", 40: "#,##0.00_);[Red](#,##0.00)", 41: '_(* #,##0_);_(* (#,##0);_(* "-"_);_(@_)', 42: '_("$"* #,##0_);_("$"* (#,##0);_("$"* "-"_);_(@_)',
+    43: '_(* #,##0.00_);_(* (#,##0.00);_(* "-"??_);_(@_)', 44: '_("$"* #,##0.00_);_("$"* (#,##0.00);_("$"* "-"??_);_(@_)', 45: "mm:ss", 46: "[h]:mm:ss", 47: "mmss.0", 48: "##0.0E+0", 49: "@",
+}
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 CELLS = "file_id string, source_file string, sheet_idx int, sheet_name string, coord string, row_idx int, col_idx int, value string, value_type string, formula string, number_format string, fill string, bold boolean, italic boolean, borders array<struct<side: string, line: string>>, colspan int, rowspan int, error string"
 MEDIA = "file_id string, source_file string, sheet_idx int, sheet_name string, idx int, coord string, row_idx int, col_idx int, filename string, media_type string, bytes binary, error string"
@@ -67,6 +74,22 @@ def position(coord: str) -> tuple[int, int]:
     return int(m.group(2)), col
 
 
+_REF = re.compile(r"""("[^"]*"|'[^']*')|(?<![\w.$])(\$?)([A-Z]{1,3})(\$?)([0-9]+)(?![\w(.])""")
+
+
+def shifted(formula: str, rows: int, cols: int) -> str:
+    """A formula as it reads so many rows further down and columns further right: relative references move, texts and sheet names stay."""
+
+    def move(m: re.Match) -> str:
+        if m.group(1):
+            return m.group()
+        r, c = position(m.group(3) + m.group(5))
+        r, c = r if m.group(4) else r + rows, c if m.group(2) else c + cols
+        return f"{m.group(2)}{letters(c)}{m.group(4)}{r}" if r > 0 and c > 0 else "#REF!"
+
+    return _REF.sub(move, formula)
+
+
 class Book:
     """An opened workbook."""
 
@@ -116,25 +139,31 @@ class Book:
             bold, italic = at(fonts, x.get("fontId"), (False, False))
             self.looks.append((at(fills, x.get("fillId"), None), bold, italic, at(borders, x.get("borderId"), [])))
 
-    def _date(self, v: str) -> str:
-        d = self.epoch + timedelta(days=float(v))
+    def _date(self, v: str, fmt: str | None) -> str:
+        """A point in time in ISO form; a time of day or a duration as it reads."""
+        x = float(v)
+        if re.search(r"\[(h+|m+|s+)\]", fmt or "", re.I):
+            return str(timedelta(seconds=round(x * 86400)))
+        if 0 <= x < 1:
+            return str((datetime.min + timedelta(seconds=round(x * 86400))).time())
+        d = self.epoch + timedelta(days=x)
         d = (d + timedelta(microseconds=500)).replace(microsecond=0) if d.microsecond else d
         return d.isoformat()
 
     @staticmethod
     def _is_date(fmt: str | None) -> bool:
-        bare = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", fmt or "")
+        bare = re.sub(r'"[^"]*"|\\.|\[(?!h|m|s)[^\]]*\]', "", fmt or "", flags=re.I)
         return bool(re.search("[ymdhs]", bare, re.I)) and "General" not in (fmt or "")
 
     def cells(self, idx: int) -> Iterator[dict]:
-        """Cells with a value or formula, and the anchors of merged ranges."""
+        """Cells with a value, a formula or a look of their own, and the anchors of merged ranges."""
         root = self._xml(self.sheets[idx][1])
         spans = {}
         for m in _kids(_kid(root, "mergeCells"), "mergeCell"):
             a, _, b = m.get("ref").partition(":")
             (r1, c1), (r2, c2) = position(a), position(b or a)
             spans[(r1, c1)] = (c2 - c1 + 1, r2 - r1 + 1)
-        shared: dict[str, str] = {}
+        shared: dict[str, tuple[str, int, int]] = {}
         row = 0
         for re_ in _kids(_kid(root, "sheetData"), "row"):
             row, col = int(re_.get("r") or row + 1), 0
@@ -160,18 +189,22 @@ class Book:
                 elif kind == "d" and raw is not None:
                     vtype = "d"
                 elif raw is not None and self._is_date(fmt):
-                    value, vtype = self._date(raw), "d"
+                    value, vtype = self._date(raw, fmt), "d"
                 elif raw is not None:
                     x = float(raw)
                     value = str(int(x)) if x.is_integer() and abs(x) < 1e15 and "." not in raw and "E" not in raw.upper() else repr(x) if not x.is_integer() else str(int(x))
                 formula = None
                 if f is not None:
-                    text = f.text or shared.get(f.get("si") or "")
-                    if f.text and f.get("t") == "shared":
-                        shared[f.get("si")] = f.text
+                    text = f.text
+                    if f.get("t") == "shared":
+                        if f.text:
+                            shared[f.get("si")] = (f.text, r, col)
+                        elif f.get("si") in shared:
+                            first, r0, c0 = shared[f.get("si")]
+                            text = shifted(first, r - r0, col - c0)
                     formula = "=" + text if text else None
                 span = spans.get((r, col))
-                if value is None and formula is None and span is None:
+                if value is None and formula is None and span is None and not any(look):
                     continue
                 yield {"coord": f"{letters(col)}{r}", "row_idx": r, "col_idx": col, "value": value, "value_type": vtype, "formula": formula, "number_format": fmt, "fill": look[0], "bold": look[1], "italic": look[2], "borders": look[3], "colspan": span[0] if span else None, "rowspan": span[1] if span else None}
 
@@ -196,7 +229,7 @@ class Book:
                 data = self.zip.read(name) if info is not None and not big else None
                 kind = sniff(data) if data else None
                 error = "too_large" if big else None if kind else "unidentified_format"
-                yield {"idx": n, "coord": f"{letters(c)}{r}" if r else None, "row_idx": r, "col_idx": c, "filename": f"s{idx}_img_{n}.{kind}" if kind else None, "media_type": "image", "bytes": data if kind else None, "error": error}
+                yield {"idx": n, "coord": f"{letters(c)}{r}" if r else None, "row_idx": r, "col_idx": c, "filename": f"{safe_name(self.sheets[idx][0])}_img_{n}.{kind}" if kind else None, "media_type": "image", "bytes": data if kind else None, "error": error}
                 n += 1
 
 
@@ -209,10 +242,15 @@ def sniff(data: bytes) -> str | None:
 
 
 def files(spark: SparkSession, path: str, max_mb: int = MAX_MB) -> DataFrame:
-    """Workbook files within the size limit: source_file, size_bytes, file_id (SHA-256 of the content), content."""
+    """Workbook files within the size limit: source_file, size_bytes, file_id (SHA-256 of the content), content.
+
+    Of copies with the same content the first path counts, found by their hashes so that no content is shuffled.
+    """
     df = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(path)
-    df = df.filter(F.col("length") <= max_mb * 1024 * 1024)
-    return df.select(F.element_at(F.split("path", "/"), -1).alias("source_file"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("file_id"), "content")
+    df = df.filter(F.col("length") <= max_mb * 1024 * 1024).withColumn("file_id", F.sha2("content", 256))
+    first = df.groupBy("file_id").agg(F.min("path").alias("path"))
+    df = df.join(first.select("path"), "path", "left_semi")
+    return df.select(F.element_at(F.split("path", "/"), -1).alias("source_file"), F.col("length").alias("size_bytes"), "file_id", "content")
 
 
 def oversized(spark: SparkSession, path: str, max_mb: int = MAX_MB) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheetweave import engine
+from sheetweave.operators.model import FakeClient
 from sheetweave.sources import xlsx
 from sheetweave.streaming import folder
 
@@ -69,7 +70,7 @@ def test_bad_files_are_rows(spark, books):
 
 def test_media_and_size_guard(spark, books):
     got = {r.idx: (r.coord, r.filename, r.error) for r in xlsx.read_media(xlsx.files(spark, books)).filter("source_file = 'good.xlsx'").collect()}
-    assert got == {0: ("C5", "s0_img_0.png", None), 1: ("A1", None, "unidentified_format")}
+    assert got == {0: ("C5", "報告_img_0.png", None), 1: ("A1", None, "unidentified_format")}
     assert xlsx.files(spark, books, max_mb=0).count() == 0 and xlsx.oversized(spark, books, max_mb=0).count() == 3
 
 
@@ -81,22 +82,39 @@ def test_stream_reads_each_file_once(spark, books, tmp_path):
 
 
 def test_engine(spark, books, tmp_path):
-    e = engine.Engine(spark, cache_path=str(tmp_path / "cache"))
+    e = engine.Engine(spark, FakeClient(), cache_path=str(tmp_path / "cache"))
     for _ in range(2):  # the second time from the cache
         got = {r.sheet_name: json.loads(r.data) for r in e.extract_structured_data(books).collect()}
-        assert got["Plain"] == {"data": [{"n": "7", "name": "bolt"}]} and got["報告"][0]["model"] == "gemini-1.5-flash"
+        assert got["Plain"] == {"data": [{"name": "bolt", "n": 7}]} and got["報告"][0]["model"] == "gemini-1.5-flash"
     c = e.extract_rag_chunks(books, engine.ExtractionOptions(include_logic=True), extraction_date="2024-01-01").collect()
     assert {r.metadata.sheet_name for r in c} == {"Plain", "報告"} and all(r.metadata.total_chunks >= 1 for r in c)
     assert bytes(e.extract_docx(books).first().docx).startswith(b"PK")
 
 
 def test_command_line(spark, books, tmp_path):
-    assert engine.main([books, "--rag", "--rag-format", "jsonl", "--output-dir", str(tmp_path)], spark) == 0
+    assert engine.main([books, "--rag", "--rag-format", "jsonl", "--no-vision", "--output-dir", str(tmp_path / "no model")], spark) == 1
+    assert engine.main([books, "--rag", "--rag-format", "jsonl", "--output-dir", str(tmp_path)], spark, FakeClient()) == 0
     lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "chunks")).collect()]
     assert lines and {"content", "metadata"} == set(lines[0])
+    assert engine.main([books, "--rag", "--rag-format", "yaml_frontmatter", "--output-dir", str(tmp_path)], spark, FakeClient()) == 0
+    got = {x.name for x in (tmp_path / "good_rag").iterdir()}
+    assert {"Plain_chunk_1.md"} <= got and not [x for x in got if x.endswith(".part")]
+    assert (tmp_path / "good_rag" / "Plain_chunk_1.md").read_text().startswith("---\n")
+    assert json.loads((tmp_path / "good_rag.json").read_text())["Plain"]["chunks"] == 1
+    assert engine.main([books, "--output-dir", str(tmp_path)], spark, FakeClient()) == 0
+    assert json.loads((tmp_path / "good_result.json").read_text())["sheets"]["Plain"] == {"data": [{"name": "bolt", "n": 7}]}
     assert engine.main([str(tmp_path / "absent")], spark) == 1
 
 
+def test_formulas_times_and_formats():
+    assert xlsx.shifted("SUM(A1:$B$2)+C$3*'A1 B2'!$D4&\"A1\"+LOG10(A1)", 2, 1) == "SUM(B3:$B$2)+D$3*'A1 B2'!$D6&\"A1\"+LOG10(B3)"
+    assert xlsx.shifted("A1", -1, 0) == "#REF!"
+    b = xlsx.Book.__new__(xlsx.Book)
+    b.epoch = xlsx.datetime(1899, 12, 30)
+    assert b._date("0.5", "h:mm") == "12:00:00" and b._date("1.5", "[h]:mm") == "1 day, 12:00:00" and b._date("45292", "yyyy-mm-dd") == "2024-01-01T00:00:00"
+    assert b._is_date("[h]:mm") and not b._is_date('[Red]#,##0 "days"') and xlsx.FORMATS[44].count("$") == 3
+
+
 class EchoClient:
     """Shows in its answer whether chart data and notes reached the model."""
 
