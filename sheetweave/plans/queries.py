@@ -409,9 +409,18 @@ def line_blocks(spark: SparkSession, d: str) -> DataFrame:
     return documents.line_table(_items(spark, d).filter("content is not null"), "item_no", "content")
 
 
-@query()
+@query(
+    """
+    SELECT media_id, a AS alt, b AS path FROM (
+        SELECT media_id, coalesce(coord, '') AS a, 'media/' || filename || '(1)' AS b FROM (SELECT DISTINCT media_id, coord, filename FROM media WHERE filename IS NOT NULL)
+        UNION ALL SELECT media_id, 'second', 'a(b(c)d)' FROM (SELECT DISTINCT media_id, coord, filename FROM media WHERE filename IS NOT NULL))
+    """
+)
 def image_refs(spark: SparkSession, d: str) -> DataFrame:
-    return _items(spark, d).select("item_no", F.explode(documents.image_refs(F.col("content"))).alias("i")).select("item_no", "i.alt", "i.path")
+    """References with nested parentheses, an unbalanced one between them, from every named image."""
+    m = table(spark, d, "media").filter("filename is not null").select("media_id", "coord", "filename").distinct()
+    text = F.concat(F.lit("see !["), F.coalesce("coord", F.lit("")), F.lit("](media/"), "filename", F.lit("(1)) ![second](a(b(c)d)) and ![open](never(closed\n")).alias("t")
+    return m.select("media_id", text).select("media_id", F.explode(documents.image_refs(F.col("t"))).alias("i")).select("media_id", "i.alt", "i.path")
 
 
 @query()

@@ -29,8 +29,10 @@ def test_merges_and_html(spark):
 
 def test_simple_tables(spark):
     c = cells(spark, ("A1", 1, 1, "id"), ("B1", 1, 2, "0"), ("C1", 1, 3, "id"), ("A2", 2, 1, "1"), ("B2", 2, 2, "x"), ("C2", 2, 3, "9"))
+    c = c.withColumn("value_type", F.when(F.col("value").rlike("^[0-9]+$"), "n").otherwise("s"))
     assert grid.simple_sheets(c).first().is_simple
     assert {(r.header, r.value) for r in grid.simple_rows(c).collect()} == {("id", "9"), ("Column2", "x")}
+    assert {(r.header, r.json) for r in grid.simple_rows(c.withColumn("value_type", F.lit("s"))).collect()} == {("id", '"9"'), ("0", '"x"')}
     assert not grid.simple_sheets(cells(spark, ("A1", 1, 1, "only"))).first().is_simple
 
 
