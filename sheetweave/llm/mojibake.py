@@ -120,7 +120,7 @@ class Bigrams:
     def __init__(self, counts: dict[int, int]) -> None:
         self.lut, self.k = class_table()
         self.tokens: dict[tuple[str, int, int, int, bool], Token] = {}
-        self.seen: dict[tuple[str, int, int, bool], Token] = {}  # the same by the text as it stands
+        self.seen: list[dict[str, Token]] = [{} for _ in range(12)]  # the same by the text as it stands, for each kind of token
         self.runs: dict[tuple[str, str, str], list[tuple[int, float]]] = {}
         self.parts: dict[tuple[str, int, int], list[tuple[int, float]]] = {}  # runs of a token by the text as it stands
         m = np.zeros(self.k * self.k)
@@ -240,6 +240,7 @@ def _kinds() -> np.ndarray:
     return kind
 
 
+@lru_cache(None)
 def _look(c: str) -> int:
     """One number for characters that are compatible, as the two spellings of micro."""
     return ord(unicodedata.normalize("NFKC", c)[0]) if c != "\xa0" else 0xA0
@@ -262,8 +263,10 @@ class Starts:
             for b, c in enumerate(pages()[w], 128):
                 if _is_letter(c):
                     self.clas[k, b], self.letter[k, b], self.look[k, b] = lm.lut[ord(c)], c.isalpha(), _look(c)
+        self.clas, self.letter, self.look = (np.ascontiguousarray(x.T) for x in (self.clas, self.letter, self.look))  # byte, page
         self.space = lm.lut[0xA0]
-        self.has = np.array([[c in set(pages()[t]) for c in self.index] for t in names])  # a true page that has the character
+        own = [set(pages()[t]) for t in names]
+        self.has = np.array([[c in x for x in own] for c in self.index])  # character, true page that has it
         n = len(names)
         self.pages = names
         self.names = [f"{t}>{w}" for t in names for w in names]
@@ -286,8 +289,10 @@ class Token:
 
     def __init__(self, gain: np.ndarray, group: np.ndarray) -> None:
         self.gain, self.group = gain, group
-        self.some = np.flatnonzero((gain > 1.0)[:, group].ravel()).astype(np.int32)  # pairs that it speaks for
-        self.more = self.of(self.some, len(group)) if len(self.some) else None  # what these gain
+        self.some = self.more = None  # pairs that it speaks for, and what these gain
+        if gain.max() > 1.0:
+            self.some = np.flatnonzero((gain > 1.0)[:, group].ravel()).astype(np.int32)
+            self.more = self.of(self.some, len(group))
 
     def of(self, pairs: np.ndarray, n: int) -> np.ndarray:
         return self.gain[pairs // n, self.group[pairs % n]]
@@ -368,32 +373,43 @@ def token_gains(ring: str, lo: int, hi: int, known: int, number: bool, lm: Bigra
         return Token(np.zeros((st.n, 1), dtype=np.float32), np.zeros(st.n, dtype=np.int64))  # losses say nothing about a page
     at = [st.index.get(ring[i], -1) for i in special]
     if min(at) < 0:
-        return Token(np.where(st.has[:, [x for x in at if x >= 0]].any(1), NEVER, 0.0).astype(np.float32)[:, None], np.zeros(st.n, dtype=np.int64))
+        return Token(np.where(st.has[[x for x in at if x >= 0]].any(0), NEVER, 0.0).astype(np.float32)[:, None], np.zeros(st.n, dtype=np.int64))
     where: dict[bytes, int] = {}
     cols = st.byte[:, at]
-    group = np.array([where.setdefault(r.tobytes(), len(where)) for r in cols])
-    b = cols[np.unique(group, return_index=True)[1]]
+    raw, step = cols.tobytes(), cols.itemsize * len(at)
+    group = np.array([where.setdefault(raw[i : i + step], len(where)) for i in range(0, len(raw), step)])
+    b = np.frombuffer(b"".join(where), dtype=cols.dtype).reshape(-1, len(at)).T
     ids = lm.ids(ring)
     place = {i: j for j, i in enumerate(special)}
-    new = st.clas[:, b]  # true page, group, special character
-    same = st.look[:, b] == [_look(ring[i]) for i in special]
-    inner = [0 < i < len(ring) - 1 and ring[i - 1].isalnum() and ring[i + 1].isalnum() for i in special]
+    new = st.clas[b]  # special character, group, true page
+    was = ids[special][:, None, None]
+    inner = [place[i] for i in special if 0 < i < len(ring) - 1 and ring[i - 1].isalnum() and ring[i + 1].isalnum()]
     # what the true page doesn't have can't have gone through it and may stand as it is
-    stays = ((b == 0)[None] | (new < 0)) & ~st.has[:, at][:, None, :]
-    ok = ~((new == st.space) & np.array(inner)).any(2) & (((b > 0)[None] & (new >= 0)) | stays).all(2)
-    same |= stays
-    new = np.where(stays, ids[special], np.maximum(new, 0))
-    d = np.zeros(new.shape[:2], dtype=np.float32)
-    for i in {k for x in special for k in (x - 1, x) if 0 <= k < len(ring) - 1}:
-        x = new[:, :, place[i]] if i in place else ids[i]
-        y = new[:, :, place[i + 1]] if i + 1 in place else ids[i + 1]
-        d += lm.logp[x, y] - lm.logp[ids[i], ids[i + 1]]
-    letter = st.letter[:, b]
-    alone = known + letter.sum(2) < 2  # stands alone and shows nothing, except a sign between numbers
-    idle = same.all(2) | (alone & ((letter & ~same).any(2) | ((known == 0) & (not number))))
+    image = (b > 0)[:, :, None] & (new >= 0)
+    stays = ~image & ~st.has[at][:, None, :]
+    ok = (image | stays).all(0)
+    if inner:
+        ok &= (new[inner] != st.space).all(0)
+    same = (st.look[b] == np.array([_look(ring[i]) for i in special])[:, None, None]) | stays
+    new = np.where(stays, was, np.maximum(new, 0))
+    d = np.zeros(new.shape[1:], dtype=np.float32)
+    for i in sorted({k for x in special for k in (x - 1, x) if 0 <= k < len(ring) - 1}):
+        x, y = ids[i], ids[i + 1]
+        if i not in place:
+            to = lm.logp[x].take(new[place[i + 1]])
+        elif i + 1 not in place:
+            to = lm.logp[:, y].take(new[place[i]])
+        else:
+            to = lm.logp.ravel().take(new[place[i]] * lm.k + new[place[i + 1]])
+        d += to - lm.logp[x, y]
+    letter = st.letter[b]
+    idle = same.all(0)
+    if known < 2:
+        alone = known + letter.sum(0) < 2  # stands alone and shows nothing, except a sign between numbers
+        idle |= alone & ((letter & ~same).any(0) | ((known == 0) & (not number)))
     if all(ring[i].isspace() for i in special):
         idle[:] = True
-    return Token(np.where(ok, np.where(idle, np.minimum(d, 0.0), d), NEVER).astype(np.float32), group)
+    return Token(np.where(ok, np.where(idle, np.minimum(d, 0.0), d), NEVER).T.astype(np.float32, order="C"), group)
 
 
 def undo_utf8(text: str, wrong: str, lm: Bigrams) -> tuple[str, float, list[tuple[str, str, str, str]]]:
@@ -575,7 +591,10 @@ def _leads(true: str, wrong: str) -> str:
 def _cjk_possible(text: str, true: str, wrong: str) -> bool:
     if wrong in ("cp932", "euc_jp"):
         return bool(_WIDE.search(text))
-    if not any(c in text for c in _leads(true, wrong)):
+    for c in _leads(true, wrong):
+        if c in text:
+            break
+    else:
         return False
     found = _torn(true, wrong).finditer(text)
     return next(found, None) is not None and next(found, None) is not None
@@ -662,22 +681,24 @@ def undo(text: str, swap: str, lm: Bigrams, learnt: dict[str, str] | None = None
 
 def _token(text: str, span: Span, lm: Bigrams, st: Starts) -> Token:
     a, b, _, first, last, known = span
-    number = known == 0 and text[max(0, a - 2) : a].strip().isdigit() and text[b : b + 2].strip().isdigit()
-    lo = int(first > 0)
-    known = min(known, 2)
-    raw = text[first - lo : last + 2], lo, known, number
-    hit = lm.seen.get(raw)
+    lo, known, number = first > 0, min(known, 2), False
+    if not known:
+        number = text[max(0, a - 2) : a].strip().isdigit() and text[b : b + 2].strip().isdigit()
+    ring = text[first - lo : last + 2]
+    seen = lm.seen[known + 3 * number + 6 * lo]
+    hit = seen.get(ring)
     if hit is None:
-        key = _DIGITS.sub("0", raw[0]), lo, last + 1 - first + lo, known, number
+        key = _DIGITS.sub("0", ring), int(lo), last + 1 - first + lo, known, number
         hit = lm.tokens.get(key)
         if hit is None:
             if len(lm.tokens) > CACHE:
                 lm.tokens.clear()
-                lm.seen.clear()
+                for x in lm.seen:
+                    x.clear()
             hit = lm.tokens[key] = token_gains(*key, lm, st)
-        if len(lm.seen) > 10 * CACHE:
-            lm.seen.clear()
-        lm.seen[raw] = hit
+        if len(seen) > CACHE:
+            seen.clear()
+        seen[ring] = hit
     return hit
 
 
@@ -696,10 +717,18 @@ def stretches(text: str, spans: Spans, lm: Bigrams, st: Starts) -> list[Candidat
     pairs = np.flatnonzero(total >= LEAST_GAIN)
     if not len(pairs):
         return []
-    best = now = np.zeros(len(pairs), dtype=np.float32)
+    best, now = np.zeros(len(pairs), dtype=np.float32), np.zeros(len(pairs), dtype=np.float32)
+    gains: dict[int, np.ndarray] = {}
+    kept = []  # a token can be the same object only while it lives
     for x in spans.all():
-        now = np.maximum(now, 0.0) + _token(text, x, lm, st).of(pairs, st.n)
-        best = np.maximum(best, now)
+        t = _token(text, x, lm, st)
+        gain = gains.get(id(t))
+        if gain is None:
+            kept.append(t)
+            gain = gains[id(t)] = t.of(pairs, st.n)
+        np.maximum(now, 0.0, out=now)
+        now += gain
+        np.maximum(best, now, out=best)
     good = best >= LEAST_GAIN
     pairs, gain = pairs[good], np.round(best[good].astype(np.float64), 3)
     return list(zip([st.names[p] for p in pairs.tolist()], gain.tolist(), st.rank[pairs].tolist()))

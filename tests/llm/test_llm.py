@@ -397,6 +397,42 @@ def test_utf8_gains_in_every_page_that_has_its_bytes():
     assert got["utf-8>cp1254"] >= got["utf-8>cp1252"] >= mojibake.LEAST_GAIN
 
 
+def test_a_token_is_held_against_the_pairs_once(monkeypatch):
+    """However often a text repeats it."""
+    lm = _bigrams([PLAIN[lang] * 3 for lang in list(PLAIN) * 40])
+    starts = mojibake.Starts(lm)
+    text = " " + PLAIN["ru"].encode("koi8_r").decode("cp1252") * 50
+    (spans,) = mojibake.tokens_of([text], lm)
+    first = mojibake.candidates(text, spans, lm, starts)
+    calls, of = [], mojibake.Token.of
+    monkeypatch.setattr(mojibake.Token, "of", lambda self, *args: calls.append(1) or of(self, *args))
+    assert mojibake.candidates(text, spans, lm, starts) == first and first[0]
+    assert len(calls) <= len(set(text.split()))
+
+
+@given(st.lists(st.text("aZ5 .\n\xa0éüÃ¤µ°дЖ縺の、ｱ\ufffd\u2003", max_size=30), min_size=1, max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_tokens_of_many_texts(texts):
+    lm = _bigrams(list(PLAIN.values()))
+    between = re.compile(f"[{mojibake._BREAK}]")
+    for text, got in zip(texts, mojibake.tokens_of(texts, lm), strict=True):
+        want, joined = [], []
+        for m in re.finditer(f"[^{mojibake._BREAK}]+", text):
+            a, b = m.span()
+            at = [i for i in range(a, b) if text[i] > "\x7f"]
+            if not at:
+                continue
+            assert not between.search(m.group())
+            around = f"\x00{text}\x00"
+            links = sorted({i for x in at for i in (x, x + 1)})
+            cost = -sum(float(lm.logp[lm.lut[ord(around[i])], lm.lut[ord(around[i + 1])]]) for i in links) / len(links)
+            want.append((a, b, pytest.approx(cost, abs=1e-4), at[0], at[-1], sum(c.isascii() and c.isalnum() for c in m.group())))
+            if any(x + 1 in at for x in at):
+                joined.append((at[0], at[-1]))
+        odd = [x for x in want if x[2].expected > mojibake.SURPRISE]
+        assert got is None if not odd and not joined else (got.all(), got.odd, got.joined) == (want, odd, joined)
+
+
 def test_garbled_of_nothing(spark):
     assert mojibake.Garbled(spark.createDataFrame([], "doc_id long, text string, source string")).found().count() == 0
 
